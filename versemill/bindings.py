@@ -159,3 +159,23 @@ ASSETS2 = """assets2 AS (SELECT url, page_id,
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# Fixed spelling table of the test data: one kana per Latin letter, small kana and marks included.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+LATIN_KANA = "アバシダエァガーイジカラマンオパッリストウゥョィャェ"
+
+
+def kana_words(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct lower-case Latin words of all documents with a kana spelling."""
+    word = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]+"), 0))
+    return (
+        table(spark, d, "documents")
+        .select(word.alias("word"))
+        .distinct()
+        .withColumn("kana", F.translate("word", LATIN, LATIN_KANA))
+    )
+
+
+KANA_WORDS = f"""kw AS (SELECT word, translate(word, '{LATIN}', '{LATIN_KANA}') AS kana FROM (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents))"""
