@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,155 @@ def arbitrate_notes(claims: DataFrame, by: Sequence[str], overlap: str, order: S
         .agg(F.min_by(F.struct(*rest), key).alias("w"), F.count("*").alias("claims"))
         .select(*by, "w.*", "claims")
     )
+
+
+def lookup_rows(words: DataFrame, rows: DataFrame, id_: str, surface: str, pos: str, payload: Sequence[str], filler: str) -> DataFrame:
+    """List row of each word: by id, an equal surface first, else the first row of the id.
+
+    The list is reduced to one row per (id, surface) and one per id before the
+    joins, so a word never meets more than two rows.
+    """
+    packed = F.struct(*payload)
+    exact = rows.groupBy(id_, surface).agg(F.min_by(packed, F.col(pos)).alias("__exact"))
+    first = rows.groupBy(id_).agg(F.min_by(packed, F.col(pos)).alias("__first"))
+    joined = words.join(exact, [id_, surface], "left").join(first, id_, "left")
+    found = F.when(~F.col(filler), F.coalesce("__exact", "__first"))
+    return joined.withColumn("__row", found).select(*words.columns, *[F.col("__row")[c].alias(c) for c in payload])
+
+
+def position_ranges(lines: DataFrame, notes: DataFrame, by: Sequence[str], pos: Sequence[str], note: str, start: str, end: str) -> DataFrame:
+    """Start of the first and end of the last note of each line or word.
+
+    ``lines`` holds one row per (line, note position).
+    """
+    key = F.struct(*pos)
+    timed = lines.join(notes.select(note, start, end), note)
+    return timed.groupBy(*by).agg(
+        F.min_by(F.col(start), key).alias("range_start"), F.max_by(F.col(end), key).alias("range_end")
+    )
+
+
+def overlay_last(base: DataFrame, claims: DataFrame, by: Sequence[str], base_kana: str, kana: str, order: Sequence[str], word: str) -> DataFrame:
+    """Kana per note, overridden by the latest claiming word; several words are reported."""
+    last = claims.groupBy(*by).agg(
+        F.max_by(F.col(kana), F.struct(*order)).alias("__kana"),
+        (F.count_if(F.col(word).isNotNull()) > 1).alias("__many"),
+    )
+    return base.join(last, list(by), "left").select(
+        *by,
+        F.coalesce("__kana", base_kana).alias("kana"),
+        F.coalesce("__many", F.lit(False)).alias("double_claim"),
+    )
+
+
+def first_claims(edited: DataFrame, by: Sequence[str], order: Sequence[str], old: DataFrame, old_id: str, inherit: Sequence[str]) -> DataFrame:
+    """Edited rows where the first row naming an old id inherits its fields."""
+    position = F.struct(*order)
+    winner = edited.where(F.col(old_id).isNotNull()).groupBy(*by, old_id).agg(F.min(position).alias("__win"))
+    source = old.select(*by, old_id, F.struct(*inherit).alias("__old"))
+    joined = (
+        edited.withColumn("__pos", position)
+        .join(winner, [*by, old_id], "left")
+        .join(source, [*by, old_id], "left")
+    )
+    first = F.coalesce(F.col("__pos") == F.col("__win"), F.lit(False))
+    return joined.select(
+        *edited.columns, first.alias("first_claim"), *[F.when(first, F.col("__old")[c]).alias(c) for c in inherit]
+    )
+
+
+def overlay_catalogue(base: DataFrame, local: DataFrame, id_: str, pos: str, fields: Sequence[str]) -> DataFrame:
+    """Local entries override base entries of the same id field by field; new ids come after the base."""
+    b = base.select(id_, F.col(pos).alias("__bp"), *[F.col(f).alias(f"__b_{f}") for f in fields])
+    l = local.select(id_, F.col(pos).alias("__lp"), *[F.col(f).alias(f"__l_{f}") for f in fields])
+    return b.join(l, id_, "full").select(
+        id_,
+        F.col("__bp").isNull().cast("int").alias("appended"),
+        F.coalesce("__bp", "__lp").alias("pos"),
+        *[F.coalesce(f"__l_{f}", f"__b_{f}").alias(f) for f in fields],
+    )
+
+
+def resolve_alias(keys: DataFrame, aliases: DataFrame, key: str, hops: int = 2) -> DataFrame:
+    """Follow an alias table (``from_key``, ``to_key``, one row per from) up to ``hops`` times."""
+    fold = lambda c: F.lower(F.replace(c, F.lit("_"), F.lit(" ")))
+    table = aliases.groupBy(fold(F.col("from_key")).alias("__from")).agg(F.max(fold(F.col("to_key"))).alias("__to"))
+    out = keys.withColumn("resolved", fold(F.col(key)))
+    for _ in range(hops):
+        out = (
+            out.join(table, F.col("resolved") == F.col("__from"), "left")
+            .withColumn("resolved", F.coalesce("__to", "resolved"))
+            .drop("__from", "__to")
+        )
+    return out
+
+
+def asset_state(urls: DataFrame, managed: DataFrame) -> DataFrame:
+    """Unmanaged, missing or available, and what is known of the credit."""
+    m = managed.select("url", F.col("local_path"), F.col("credit"), F.lit(True).alias("__managed"))
+    j = urls.join(m, "url", "left")
+    return j.select(
+        *urls.columns,
+        F.when(F.col("__managed").isNull(), "unmanaged")
+        .when(F.col("local_path").isNull(), "missing")
+        .otherwise("available")
+        .alias("state"),
+        F.when(F.col("__managed").isNull(), "not applicable")
+        .when(F.col("credit").isNull(), "unknown")
+        .otherwise("known")
+        .alias("credit_state"),
+    )
+
+
+def read_tokens(tokens: DataFrame, readings: DataFrame, by: Sequence[str], pos: str, token: str, forced: str) -> DataFrame:
+    """Reading of each text: forced reading, else dictionary, else the token itself; in order."""
+    d = readings.groupBy(token).agg(F.min("reading").alias("__dict"))
+    read = tokens.join(d, token, "left").withColumn("__r", F.coalesce(F.col(forced), F.col("__dict"), F.col(token)))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(pos, "__r"))), lambda x: x["__r"])
+    return read.groupBy(*by).agg(
+        F.array_join(ordered, "").alias("reading"), F.count_if(F.col("__dict").isNotNull()).alias("n_known")
+    )
+
+
+def reading_candidates(rows: DataFrame, by: Sequence[str], reading: Column, order: str) -> DataFrame:
+    """Distinct readings per key, numbered by first appearance; number 1 is the default."""
+    from versemill.plans.ordered import row_number, scan
+
+    first = rows.withColumn("reading", reading).groupBy(*by, "reading").agg(F.min(order).alias("first_at"))
+    return scan(first, by, ["first_at", "reading"], F.floor(F.col("first_at") / 65_536), number=row_number())
+
+
+def choose_with_margin(scores: DataFrame, by: Sequence[str], variant: str, score: str, margin: float) -> DataFrame:
+    """Best variant per key only if it beats the default (variant 0) by ``margin``; least on a tie."""
+    best = F.max_by(F.struct(score, variant), F.struct(F.col(score), -F.col(variant)))
+    out = scores.groupBy(*by).agg(
+        best.alias("__best"), F.max(F.when(F.col(variant) == 0, F.col(score))).alias("default_score")
+    )
+    ahead = F.col("__best")[score] - F.col("default_score") >= margin
+    return out.select(
+        *by, "default_score", F.col("__best")[score].alias("best_score"),
+        F.when(F.coalesce(ahead, F.lit(True)), F.col("__best")[variant]).otherwise(0).alias("chosen"),
+    )
+
+
+def fill_offset_map(df: DataFrame, by: Sequence[str], pos: str, matched: str, length: str, slice_by: Column) -> DataFrame:
+    """Target offset of every source offset: matched ones as they are, others inherit, never back, end pinned."""
+    from versemill.plans.ordered import running_max, scan
+
+    s = scan(df, by, [pos], slice_by, __m=running_max(matched))
+    return s.withColumn("target", F.least(F.coalesce(F.col("__m"), F.lit(0)), F.col(length))).drop("__m")
+
+
+def vocabulary_tokens(moras: DataFrame, vocabulary: DataFrame, mora: str, token: str, other_script) -> DataFrame:
+    """Character tokens of moras with their owner; unknown ones in the other script, else dropped.
+
+    ``vocabulary`` (token, token_id) is reduced to one row per token.
+    """
+    v = vocabulary.groupBy(F.col(token).alias("__tok")).agg(F.min("token_id").alias("__id"))
+    chars = moras.select("*", F.posexplode(F.filter(F.split(mora, ""), lambda c: c != "")).alias("char_no", "char"))
+    a = v.withColumnRenamed("__tok", "__t1").withColumnRenamed("__id", "__id1")
+    b = v.withColumnRenamed("__tok", "__t2").withColumnRenamed("__id", "__id2")
+    j = chars.join(a, F.col("char") == F.col("__t1"), "left").join(b, other_script(F.col("char")) == F.col("__t2"), "left")
+    return j.withColumn("token_id", F.coalesce("__id1", "__id2")).where(F.col("token_id").isNotNull()).drop(
+        "__t1", "__t2", "__id1", "__id2"
+    )
