@@ -258,8 +258,14 @@ def peak_envelope(samples: DataFrame, by, index: str, value: str, hop: int) -> D
     return blocks.join(top, by).select(*by, "block", F.round(scaled, 3).alias("peak"))
 
 
-def roll_up_lines(notes: DataFrame, by, order: Sequence[str], fields: Sequence[str], id_: str) -> DataFrame:
-    """Ordered concatenation of texts and list of ids per line (a line is short by nature)."""
+def roll_up_lines(notes: DataFrame, by, order: Sequence[str], fields: Sequence[str], id_: str, part: Column) -> DataFrame:
+    """Ordered concatenation of texts and list of ids per line.
+
+    A line has a handful of notes; ``part`` (a block of the order) bounds what
+    one row gathers, so an endless line comes out as several parts.
+    """
+    by = [*by, "part"]
+    notes = notes.withColumn("part", part)
     row = F.struct(F.struct(*order).alias("o"), F.struct(id_, *fields).alias("v"))
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["v"])
     out = notes.groupBy(*by).agg(rows.alias("__rows"))
@@ -338,14 +344,18 @@ def score_digest(lines: DataFrame, by, order: Sequence[str], text: str, sung: Co
     return j.select(*by, "n_chars", "n_sung", F.when(F.col("n_chars") > 2 * edge, cut).otherwise(h).alias("digest"))
 
 
-def throughput_factor(runs: DataFrame, by, order: Sequence[str], wall: Column, score: Column, block: int = 256) -> DataFrame:
-    """Smoothed ratio: the first run seeds it, then 0.7 old + 0.3 new, 4 decimals at each step.
+def throughput_factor(runs: DataFrame, by, order: Sequence[str], wall: Column, score: Column) -> DataFrame:
+    """Smoothed ratio after each run: the first seeds it, then 0.7 old + 0.3 new, 4 decimals.
 
-    Rounding makes each step depend on the one before, so runs are folded in
-    order; see ``plans.fold`` for how long histories are cut.
+    Rounding makes each step depend on the one before, so runs are streamed in
+    order with one number of state per key.
     """
-    from versemill.plans.fold import fold_in_blocks
+    from versemill.plans.fold import fold_sorted
+
+    ok = runs.where((wall > 0) & (score > 0)).withColumn("x", wall / score)
+
+    def smooth(state, row):
+        new = round(row["x"], 4) if state is None else round(0.7 * state + 0.3 * row["x"], 4)
+        return new, (new,)
 
-    ok = runs.where((wall > 0) & (score > 0)).withColumn("__x", wall / score)
-    step = lambda acc, x: F.when(acc.isNull(), F.round(x["__x"], 4)).otherwise(F.round(acc * 0.7 + x["__x"] * 0.3, 4))
-    return fold_in_blocks(ok, by, order, ["__x"], F.lit(None).cast("double"), step, "factor", block)
+    return fold_sorted(ok.select(*by, *order, "x"), by, order, smooth, "factor double")

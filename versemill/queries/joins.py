@@ -99,7 +99,7 @@ def j4_beats(spark, d):
 
 _UNITS = r"""units AS (SELECT song_id, line_id, i AS unit, ws[i] AS w, sum(length(ws[i])) OVER (PARTITION BY song_id, line_id ORDER BY i) AS c1
    FROM (SELECT song_id, line_id, regexp_extract_all(text, '[^\s]+') AS ws FROM turns), unnest(range(1, len(ws) + 1)) AS u(i)),
- chars AS (SELECT song_id, line_id, max(c1) AS n FROM units GROUP BY 1, 2),
+ chars AS (SELECT song_id, line_id, CAST(max(c1) AS BIGINT) AS n FROM units GROUP BY 1, 2),
  cn AS (SELECT song_id, line_id, k AS note_no, 5 * k AS n0, 5 * k + 4 AS n1, 100 + k * 37 % 50 AS ms FROM chars, unnest(range(0, (n + 9) // 10)) AS u(k))"""
 
 

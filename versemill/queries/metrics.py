@@ -227,12 +227,12 @@ def a14(spark, d):
 
 @query(
     "a15_roll_up_lines",
-    B.with_(B.WORDS) + """SELECT line_id, string_agg(word_id || flag, '' ORDER BY pos, word_id, cents) AS kana, string_agg(flag, '' ORDER BY pos, word_id, cents) AS flag, count(*) AS n FROM words GROUP BY 1""",
+    B.with_(B.WORDS) + """SELECT line_id, pos // 1000 AS part, string_agg(word_id || flag, '' ORDER BY pos, word_id, cents) AS kana, string_agg(flag, '' ORDER BY pos, word_id, cents) AS flag, count(*) AS n FROM words GROUP BY 1, 2""",
 )
 def a15(spark, d):
     w = B.words(spark, d).withColumn("kana", F.concat(F.col("word_id").cast("string"), "flag"))
-    out = A.roll_up_lines(w, ["line_id"], ["pos", "word_id", "cents"], ["kana", "flag"], "word_id")
-    return out.select("line_id", "kana", "flag", F.size("note_ids").cast("bigint").alias("n"))
+    out = A.roll_up_lines(w, ["line_id"], ["pos", "word_id", "cents"], ["kana", "flag"], "word_id", F.floor(F.col("pos") / 1000))
+    return out.select("line_id", "part", "kana", "flag", F.size("note_ids").cast("bigint").alias("n"))
 
 
 @query(
@@ -370,4 +370,18 @@ def u3(spark, d):
 def u4(spark, d):
     from versemill.operators.soundalike import text_words
 
-    return text_words(B.documents(spark, d), "text").intersect(text_words(B.table(spark, d, "benchmark").select("text"), "text"))
+    lines = text_words(B.table(spark, d, "benchmark").select("text"), "text").distinct()
+    return text_words(B.documents(spark, d), "text").distinct().join(lines, "word", "left_semi")
+
+
+@query(
+    "a17_throughput_factor",
+    B.with_(B.JOBS).replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT owner, job_id, created_h, (cents % 90 + 1) / (job_id % 50 + 1) AS x, row_number() OVER (PARTITION BY owner ORDER BY created_h, job_id) AS rn FROM jobs WHERE job_id % 50 <> 7),
+ f AS (SELECT owner, job_id, rn, round(x, 4) AS factor FROM r WHERE rn = 1 UNION ALL SELECT r.owner, r.job_id, r.rn, round(0.7::DOUBLE * f.factor + 0.3::DOUBLE * r.x, 4) FROM f JOIN r ON r.owner = f.owner AND r.rn = f.rn + 1)
+SELECT job_id, factor FROM f""",
+)
+def a17(spark, d):
+    j = B.jobs(spark, d)
+    wall = (F.col("cents") % 90 + 1).cast("double")
+    score = F.when(F.col("job_id") % 50 != 7, F.col("job_id") % 50 + 1).otherwise(0).cast("double")
+    return A.throughput_factor(j, ["owner"], ["created_h", "job_id"], wall, score).select("job_id", "factor")
