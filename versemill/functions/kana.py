@@ -309,3 +309,19 @@ def compressed_counts(kana: Column, pronunciation: Column) -> Column:
     return F.when(done["ok"] & (done["at"] == F.size(fines)), done["out"])
 
 
+
+
+# Consonant of each kana row; vowels have none.
+CONSONANT_ROWS = {
+    "k": "カキクケコ", "s": "サシスセソ", "t": "タチツテト", "n": "ナニヌネノ", "h": "ハヒフヘホ",
+    "m": "マミムメモ", "y": "ヤユヨャュョ", "r": "ラリルレロ", "w": "ワヲヮ", "g": "ガギグゲゴ",
+    "z": "ザジズゼゾ", "d": "ダヂヅデド", "b": "バビブベボ", "p": "パピプペポ", "v": "ヴ",
+}
+
+
+def consonant_of(mora: Column) -> Column:
+    """Consonant class of a mora's first character, empty for vowels and signs."""
+    chars = "".join(CONSONANT_ROWS.values())
+    names = "".join(c * len(row) for c, row in CONSONANT_ROWS.items())
+    first = F.left(mora, F.lit(1))
+    return F.when(_is_in(first, chars), F.translate(first, chars, names)).otherwise("")

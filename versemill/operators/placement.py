@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versemill.functions import kana as K
 from versemill.plans.ordered import top_rows
 
 # A subset is a bit mask of slots. A word has a handful; more than this is an error, not a cut.
@@ -42,3 +43,66 @@ def expansion_candidates(
         F.array_join(F.transform("picked", lambda i: i.cast("string")), ",").alias("slots"),
         "added",
     )
+
+
+# Placements are bit masks of notes: enumerated whole up to this many notes per word.
+MAX_NOTES = 16
+
+
+def place_moras(df: DataFrame, moras: str, notes: str, force_first: bool = True) -> DataFrame:
+    """Order-preserving placement of a word's moras on its notes with the best total score.
+
+    A pair scores 1000 for an equal vowel, 10 for an equal consonant and up to
+    2 for elements that do not tend to vanish. A sokuon stays next to the mora
+    before it. Of equal scores the placement whose last mora is earliest wins,
+    then the one before it: the least bit mask. Everything happens inside the
+    row, without a shuffle. ``positions`` is null when there is no placement.
+    """
+    m, n = F.col(moras), F.col(notes)
+    eu, k = F.size(m), F.size(n)
+    drop_m, drop_n = K.dropout_flags(m), K.dropout_flags(n)
+
+    def pair(i, j):
+        a, b = F.element_at(m, i + 1), F.element_at(n, j + 1)
+        same_vowel = K.vowel_of(a).eqNullSafe(K.vowel_of(b))
+        same_cons = K.consonant_of(a) == K.consonant_of(b)
+        tie = (~F.element_at(drop_m, i + 1)).cast("int") + (~F.element_at(drop_n, j + 1)).cast("int")
+        return F.when((a == "") | (b == ""), 0).otherwise(1000 * same_vowel.cast("int") + 10 * same_cons.cast("int") + tie)
+
+    table = F.transform(
+        F.sequence(F.lit(0), eu - 1), lambda i: F.transform(F.sequence(F.lit(0), k - 1), lambda j: pair(i, j))
+    )
+    scored = df.where((eu > 0) & (k > 0)).withColumn("__t", table)
+    notes_of = lambda mask: F.filter(F.sequence(F.lit(0), k - 1), lambda j: F.getbit(mask, j) == 1)
+    top = F.when(k <= MAX_NOTES, F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_NOTES} notes in a word")).cast("bigint")
+    )
+    masks = F.filter(
+        F.sequence(F.lit(1).cast("bigint"), top),
+        lambda x: (F.bit_count(x) == eu) & ((F.getbit(x, F.lit(0)) == 1) | F.lit(not force_first)),
+    )
+
+    def total(mask):
+        at = notes_of(mask)
+        return F.aggregate(
+            F.zip_with(F.col("__t"), at, lambda row, j: F.element_at(row, j + 1)), F.lit(0), lambda acc, s: acc + s
+        )
+
+    def adjacent(mask):
+        at = notes_of(mask)
+        return F.forall(
+            F.sequence(F.lit(0), eu - 1),
+            lambda i: (F.element_at(m, i + 1) != "ッ")
+            | (i == 0)
+            | (F.element_at(at, i + 1) == F.try_element_at(at, F.greatest(i, F.lit(1))) + 1),
+        )
+
+    best = F.array_max(
+        F.transform(F.filter(masks, adjacent), lambda x: F.struct(total(x).alias("score"), (-x).alias("neg")))
+    )
+    out = scored.withColumn("__b", best)
+    return out.select(
+        *df.columns,
+        F.col("__b.score").cast("bigint").alias("score"),
+        notes_of(-F.col("__b.neg")).alias("positions"),
+    )

@@ -377,7 +377,7 @@ def u4(spark, d):
 @query(
     "a17_throughput_factor",
     B.with_(B.JOBS).replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT owner, job_id, created_h, (cents % 90 + 1) / (job_id % 50 + 1) AS x, row_number() OVER (PARTITION BY owner ORDER BY created_h, job_id) AS rn FROM jobs WHERE job_id % 50 <> 7),
- f AS (SELECT owner, job_id, rn, round(x, 4) AS factor FROM r WHERE rn = 1 UNION ALL SELECT r.owner, r.job_id, r.rn, round(0.7::DOUBLE * f.factor + 0.3::DOUBLE * r.x, 4) FROM f JOIN r ON r.owner = f.owner AND r.rn = f.rn + 1)
+ f AS (SELECT owner, job_id, rn, CAST(printf('%.4f', x) AS DOUBLE) AS factor FROM r WHERE rn = 1 UNION ALL SELECT r.owner, r.job_id, r.rn, CAST(printf('%.4f', 0.7::DOUBLE * f.factor + 0.3::DOUBLE * r.x) AS DOUBLE) FROM f JOIN r ON r.owner = f.owner AND r.rn = f.rn + 1)
 SELECT job_id, factor FROM f""",
 )
 def a17(spark, d):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versemill.plans.ordered import top_rows
 from versemill.session import ensure_checkpoint_dir
@@ -40,7 +41,8 @@ def drain(stream: DataFrame, mode: str, keys: Sequence[str] | None = None) -> Da
         .start()
     )
     query.awaitTermination()
-    result = spark.read.schema(stream.schema.add("batch", "bigint")).parquet(out)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    result = spark.read.schema(schema).parquet(out)
     if keys is None:
         return result.drop("batch")
     rest = [c for c in stream.columns if c not in keys]

@@ -14,6 +14,10 @@ from versemill.plans.fold import fold_sorted
 from versemill.plans.ordered import islands, lag, scan
 
 
+# Event times start a day into the epoch: a watermark starts at the epoch and drops what is not later.
+DAY_MS = 86_400_000
+
+
 def admit(accepted: deque, now: int, limit: int, window: int) -> bool:
     """One hit: forget what left the window, accept and record below the limit; rejects are not recorded."""
     while accepted and accepted[0] <= now - window:
@@ -93,8 +97,9 @@ def limit_rate_stream(
 ) -> DataFrame:
     """The limiter as a stateful stream: state is the accepted times of a key, at most ``limit`` of them.
 
-    Idle keys are dropped after the window by a processing-time timeout.
-    Columns are cast by the caller: ``key`` and ``request`` and ``at`` are bigint.
+    Idle keys are dropped once the watermark (one window behind the newest
+    hit) has passed their last hit by a window. ``key``, ``request`` and ``at``
+    (milliseconds) are bigint.
     """
 
     def update(
@@ -107,13 +112,15 @@ def limit_rate_stream(
         pdf = pd.concat(list(batches)).sort_values([at, request])
         verdict = [admit(accepted, now, limit, window) for now in pdf[at].tolist()]
         state.update((list(accepted),))
-        state.setTimeoutDuration(max(1, window))
+        state.setTimeoutTimestamp(max(max(pdf[at]) + DAY_MS + window, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], request: pdf[request].to_numpy(), "allowed": verdict})
 
-    return hits.select(key, request, at).groupBy(key).applyInPandasWithState(
+    timed = hits.select(key, request, at, F.timestamp_millis(F.col(at) + DAY_MS).alias("hit_time"))
+    timed = timed.withWatermark("hit_time", f"{window} milliseconds")
+    return timed.groupBy(key).applyInPandasWithState(
         update,
         f"{key} bigint, {request} bigint, allowed boolean",
         "accepted array<bigint>",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
