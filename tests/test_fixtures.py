@@ -271,7 +271,9 @@ def test_sound_alike_against_all_pairs(spark):
         assert got == want
 
 
-def test_alignment_against_all_assignments(spark):
+@pytest.mark.parametrize("settle_every", [1, 256])
+def test_alignment_against_all_assignments(spark, monkeypatch, settle_every):
+    monkeypatch.setattr(M, "SETTLE_EVERY", settle_every)
     rng = random.Random(11)
     n, m = 5, 4
     sims = {(i, k): rng.choice([0.4, 0.5, 0.7, 0.9]) for i in range(n) for k in range(m) if rng.random() < 0.6}
@@ -330,3 +332,43 @@ def test_pairing_is_one_by_one_rule(spark):
             used.add(min(free)[2])
             want.add((i, min(free)[2]))
     assert got == want
+
+
+def _match_by_table(moras, notes):
+    """Least total cost over the full (moras x notes) table."""
+    inf = 10**9
+    cost = [[inf] * (len(notes) + 1) for _ in range(len(moras) + 1)]
+    cost[0][0] = 0
+    for i in range(len(moras) + 1):
+        for j in range(len(notes) + 1):
+            if j:
+                cost[i][j] = min(cost[i][j], cost[i][j - 1] + 400)
+            if i:
+                t, p = moras[i - 1]
+                cost[i][j] = min(cost[i][j], cost[i - 1][j] + 600)
+                if j:
+                    s, e, q = notes[j - 1]
+                    tone = 100 * min(abs(p - q), abs(p - q - 12), abs(p - q + 12), 6)
+                    cost[i][j] = min(
+                        cost[i][j], cost[i - 1][j - 1] + abs(t - s) + tone,
+                        cost[i - 1][j] + 150 + max(0, s - t) + max(0, t - e) + tone,
+                    )
+    return cost[-1][-1]
+
+
+@pytest.mark.parametrize("settle_every", [1, 256])
+def test_cost_matching_is_optimal(spark, monkeypatch, settle_every):
+    monkeypatch.setattr(M, "SETTLE_EVERY", settle_every)
+    rng = random.Random(6)
+    for trial in range(4):
+        ns, t = [], 0
+        for _ in range(14):
+            t += rng.randrange(100, 900)
+            ns.append((t, t + rng.randrange(50, 400), rng.randrange(55, 70)))
+        ms = sorted((s + rng.randrange(-300, 300), p + rng.choice([0, 0, 1, 12])) for s, e, p in ns if rng.random() < 0.8)
+        moras = spark.createDataFrame([(1, i, o, p) for i, (o, p) in enumerate(ms)], "song int, mora bigint, onset bigint, mp bigint")
+        nts = spark.createDataFrame([(1, j, s, e, p) for j, (s, e, p) in enumerate(ns)], "song int, note bigint, s bigint, e bigint, np bigint")
+        out = M.match_moras(moras, nts, "song", "mora", "onset", "mp", "note", "s", "e", "np").orderBy("mora").collect()
+        used = [r.note for r in out if r.note is not None]
+        assert used == sorted(used)
+        assert max(r.total for r in out if r.total is not None) == _match_by_table(ms, ns)

@@ -125,13 +125,12 @@ def split_at_measures(notes: DataFrame, measures: DataFrame, by, note: str, star
 
 def snap_to_nearest(targets: DataFrame, beats: DataFrame, by, at: str, beat: str, lo: Column, hi: Column, width: int) -> DataFrame:
     """Closest beat strictly inside (lo, hi), else the target; the earlier beat on a tie."""
-    b = beats.select(*by, F.col(beat).alias("__b")).distinct()
-    t = asof_join(targets, b.withColumn("__prev", F.col("__b")), by, at, "__b", ["__prev"], width)
-    t = asof_join(t, b.withColumn("__next", F.col("__b")), by, at, "__b", ["__next"], width, direction="forward")
+    b = beats.select(*by, F.col(beat).alias("b")).distinct().withColumn("__b", F.col("b"))
+    t = asof_join(targets, b, by, at, "__b", ["b"], width, direction="both")
     inside = lambda c: F.when((c > lo) & (c < hi), c)
-    p, n = inside(F.col("__prev")), inside(F.col("__next"))
+    p, n = inside(F.col("prev_b")), inside(F.col("next_b"))
     nearer = F.when(n.isNull() | (F.col(at) - p <= n - F.col(at)), p).otherwise(n)
-    return t.withColumn("snapped", F.coalesce(nearer, n, F.col(at))).drop("__prev", "__next")
+    return t.withColumn("snapped", F.coalesce(nearer, n, F.col(at))).drop("prev_b", "next_b")
 
 
 def sung_gaps(sections: DataFrame, notes: DataFrame, by, start: str, end: str, n_start: str, n_end: str, width: int) -> DataFrame:

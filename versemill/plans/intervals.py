@@ -27,13 +27,14 @@ def asof_join(
     One union and one sliced scan, so no row of the left side meets more than
     one row of the right. ``tie`` orders right rows with equal time; for
     ``backward`` the last of them wins, for ``forward`` the first. ``strict``
-    leaves out right rows at exactly the left time.
+    leaves out right rows at exactly the left time. Direction ``both`` gives
+    ``prev_*`` (at or before) and ``next_*`` (after) columns from one scan.
     """
     by = list(by)
     packed = F.struct(*[F.col(c).alias(c) for c in take], F.lit(True).alias("__hit"))
     tie_values = [F.col(c) for c in tie]
     ties = [f"__tie{i}" for i in range(len(tie))]
-    right_first = (direction == "backward") != strict
+    right_first = direction == "both" or (direction == "backward") != strict
     r = right.select(
         *by,
         F.col(right_on).alias("__t"),
@@ -51,8 +52,16 @@ def asof_join(
         F.struct("*").alias("__l"),
     )
     both = l.unionByName(r)
+    order = ["__t", "__side", *ties]
+    if direction == "both":
+        hit = scan(both, by, order, by_width("__t", width), __m=last_known("__r"), __n=next_known("__r"))
+        return hit.where(F.col("__l").isNotNull()).select(
+            "__l.*",
+            *[F.col("__m")[c].alias(f"prev_{c}") for c in take],
+            *[F.col("__n")[c].alias(f"next_{c}") for c in take],
+        )
     spec = last_known if direction == "backward" else next_known
-    hit = scan(both, by, ["__t", "__side", *ties], by_width("__t", width), __m=spec("__r"))
+    hit = scan(both, by, order, by_width("__t", width), __m=spec("__r"))
     return hit.where(F.col("__l").isNotNull()).select(
         "__l.*", *[F.col("__m")[c].alias(c) for c in take]
     )

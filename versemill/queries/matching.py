@@ -175,3 +175,24 @@ def a5(spark, d):
     moras = n.where(F.col("channel") != "error").select("song_id", F.round(F.col("start_ms") * 1.03 + 700).cast("bigint").alias("onset"))
     out = M.fit_global_map(moras, n, "song_id", "onset", "start_ms", "note_id")
     return out.select("song_id", "scale", F.round("offset", 3).alias("offset"), F.round("cost", 3).alias("cost"))
+
+
+def _voices(spark, d):
+    """Moras: the song's notes but every ninth, moved a little; notes: those not of one channel."""
+    from versemill.plans.ordered import row_number, scan
+
+    n = B.notes(spark, d).select("song_id", "start_ms", "end_ms", "note_id", "pitch", "channel")
+    order, sl = ["start_ms", "note_id"], B.song_slice()
+    m = n.where(F.col("note_id") % 9 != 0).withColumns(
+        {"onset": F.col("start_ms") + F.col("note_id") % 80 - 40, "mora_pitch": F.col("pitch") + F.col("note_id") % 3}
+    )
+    m = scan(m, BY, order, sl, rn=row_number()).withColumn("mora_no", F.col("rn") - 1)
+    v = scan(n.where(F.col("channel") != "error"), BY, order, sl, rn=row_number()).withColumn("note_no", F.col("rn") - 1)
+    return m.select("song_id", "mora_no", "onset", "mora_pitch"), v.select("song_id", "note_no", "start_ms", "end_ms", "pitch")
+
+
+@query("j10_cost_matching")
+def j10(spark, d):
+    moras, notes = _voices(spark, d)
+    out = M.match_moras(moras, notes, "song_id", "mora_no", "onset", "mora_pitch", "note_no", "start_ms", "end_ms", "pitch")
+    return out.select("song_id", "mora_no", "note_no")
