@@ -132,7 +132,7 @@ def reading_candidates(rows: DataFrame, by: Sequence[str], reading: Column, orde
     from versemill.plans.ordered import row_number, scan
 
     first = rows.withColumn("reading", reading).groupBy(*by, "reading").agg(F.min(order).alias("first_at"))
-    return scan(first, by, ["first_at", "reading"], F.floor(F.col("first_at") / 65_536), number=row_number())
+    return scan(first, by, ["first_at", "reading"], F.floor(F.col("first_at") / 65_536), cut=True, number=row_number())
 
 
 def choose_with_margin(scores: DataFrame, by: Sequence[str], variant: str, score: str, margin: float) -> DataFrame:

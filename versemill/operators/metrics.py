@@ -75,13 +75,13 @@ def contour_match(pairs: DataFrame, totals: DataFrame, by, diff: str, slice_by)
     ``totals``: by, n_moras, n_notes; channels outside 0.25 .. 3 notes per mora
     are left out before the medians are taken.
     """
-    from versemill.plans.ordered import median
+    from versemill.plans.ordered import materialize, median
 
     by = list(by)
     usable = totals.where(
         (F.col("n_notes") >= 0.25 * F.col("n_moras")) & (F.col("n_notes") <= 3 * F.col("n_moras"))
     )
-    p = pairs.join(usable, by, "left_semi")
+    p = materialize(pairs.join(usable, by, "left_semi"))
     mid = median(p, by, diff, slice_by(diff)).select(*by, F.col("median").alias("__mid"), F.col("n").alias("n_pairs"))
     dev = p.join(mid, by).withColumn("__dev", F.abs(F.col(diff) - F.col("__mid")))
     mad = median(dev, by, "__dev", slice_by("__dev")).select(*by, F.col("median").alias("mad"))
@@ -103,9 +103,9 @@ def modal_pitch(frames: DataFrame, by, pitch: str, low: int = 36, high: int = 96
 
     Works on the pitch histogram of each key: at most one row per semitone.
     """
-    from versemill.plans.ordered import median
+    from versemill.plans.ordered import materialize, median
 
-    by = list(by)
+    by, frames = list(by), materialize(frames)
     semis = frames.where(F.col(pitch).isNotNull()).withColumn("__semi", F.bround(pitch).cast("bigint"))
     hist = semis.groupBy(*by, "__semi").agg(F.count("*").alias("__c"))
     mid = median(semis, by, pitch, F.floor(F.col(pitch) / 1024)).select(*by, "median", "n")
@@ -158,13 +158,13 @@ def evaluation_report(pairs: DataFrame, totals: DataFrame, by, pitch_diff: str,
 
     Order statistics come from histograms (see ``exact_quantiles``).
     """
-    from versemill.plans.ordered import exact_quantiles, median
+    from versemill.plans.ordered import exact_quantiles, materialize, median
 
-    by = list(by)
+    by, pairs = list(by), materialize(pairs)
     tr = transposition(pairs, by, pitch_diff, pitch_slice(pitch_diff))
     off = median(pairs, by, time_diff, time_slice(time_diff)).select(*by, F.col("median").alias("time_offset"))
     r = pairs.join(tr, by).join(off, by)
-    r = r.withColumns(
+    r = materialize(r).withColumns(
         {"__r": F.col(pitch_diff) - F.col("transpose"), "__t": F.abs(F.col(time_diff) - F.col("time_offset"))}
     )
     acc = r.groupBy(*by, "transpose", "time_offset").agg(

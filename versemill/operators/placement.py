@@ -72,7 +72,8 @@ def place_moras(df: DataFrame, moras: str, notes: str, force_first: bool = True)
     table = F.transform(
         F.sequence(F.lit(0), eu - 1), lambda i: F.transform(F.sequence(F.lit(0), k - 1), lambda j: pair(i, j))
     )
-    scored = df.where((eu > 0) & (k > 0)).withColumn("__t", table)
+    # Exploding a one-element array keeps the score table from being computed again per mask.
+    scored = df.where((eu > 0) & (k > 0)).withColumn("__t", F.explode(F.array(table)))
     notes_of = lambda mask: F.filter(F.sequence(F.lit(0), k - 1), lambda j: F.getbit(mask, j) == 1)
     top = F.when(k <= MAX_NOTES, F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1).otherwise(
         F.raise_error(F.lit(f"more than {MAX_NOTES} notes in a word")).cast("bigint")

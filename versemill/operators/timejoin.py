@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versemill.plans.intervals import asof_join, overlapping_pairs, points_in_spans
-from versemill.plans.ordered import by_width, lag, lead, row_number, running_sum, scan
+from versemill.plans.ordered import by_width, lag, lead, materialize, row_number, running_sum, scan
 
 
 def tempo_segments(tempo: DataFrame, by: Sequence[str], tick: str, us_per_beat: str, width: int) -> DataFrame:
@@ -18,9 +18,8 @@ def tempo_segments(tempo: DataFrame, by: Sequence[str], tick: str, us_per_beat:
     """
     s = scan(tempo, by, [tick], by_width(tick, width), __pt=lag(tick), __pu=lag(us_per_beat))
     step = F.coalesce((F.col(tick) - F.col("__pt")) * F.col("__pu"), F.lit(0))
-    return scan(s.withColumn("__step", step), by, [tick], by_width(tick, width), base=running_sum("__step")).drop(
-        "__pt", "__pu", "__step"
-    )
+    s = scan(s.withColumn("__step", step), by, [tick], by_width(tick, width), cut=True, base=running_sum("__step"))
+    return materialize(s.drop("__pt", "__pu", "__step"))
 
 
 def ticks_to_time(points: DataFrame, segments: DataFrame, by, at: str, tick: str, us_per_beat: str, width: int, out: str = "scaled") -> DataFrame:
@@ -35,7 +34,7 @@ def time_to_ticks(points: DataFrame, segments: DataFrame, by, at: str, tick: str
     """Inverse of ``ticks_to_time``: whole tick at or before a scaled time."""
     seg = segments.select(*by, F.col(tick).alias("__seg"), F.col(us_per_beat).alias("__us"), F.col("base").alias("__base"))
     seg = seg.withColumn("__at", F.col("__base"))
-    hit = asof_join(points, seg, by, at, "__at", ["__seg", "__us", "__base"], width, tie=["__seg"])
+    hit = asof_join(points, seg, by, at, "__at", ["__seg", "__us", "__base"], width, tie=["__seg"], cut=True)
     return hit.withColumn(
         out, F.col("__seg") + F.floor((F.col(at) - F.col("__base")) / F.col("__us"))
     ).drop("__seg", "__us", "__base")
@@ -72,7 +71,7 @@ def char_spans(df: DataFrame, by, order, slice_by, text: str) -> DataFrame:
 
 def unit_durations(units: DataFrame, notes: DataFrame, line: Sequence[str], unit: str, length: str, width: int = 64) -> DataFrame:
     """Sum of the lengths of the notes a unit overlaps; the line's mean for units without notes."""
-    line = list(line)
+    line, units = list(line), materialize(units)
     pairs = overlapping_pairs(
         units.select(*line, unit, "c0", "c1"), notes.select(*line, F.col("n0"), F.col("n1"), length),
         line, ("c0", "c1"), ("n0", "n1"), width,
@@ -138,7 +137,7 @@ def sung_gaps(sections: DataFrame, notes: DataFrame, by, start: str, end: str, n
     ends = notes.select(*by, F.col(n_end).alias("__at")).distinct().withColumn("__prev", F.col("__at"))
     starts = notes.select(*by, F.col(n_start).alias("__at")).distinct().withColumn("__next", F.col("__at"))
     s = asof_join(sections, ends, by, start, "__at", ["__prev"], width)
-    s = asof_join(s, starts, by, end, "__at", ["__next"], width, direction="forward")
+    s = asof_join(s, starts, by, end, "__at", ["__next"], width, direction="forward", cut=True)
     own = F.col(end) - F.col(start)
     gap = F.when(F.col("__prev").isNotNull() & F.col("__next").isNotNull(), F.greatest(own, F.col("__next") - F.col("__prev"))).otherwise(own)
     return s.withColumn("sung_gap", gap).drop("__prev", "__next")

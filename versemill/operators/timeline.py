@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versemill.plans.ordered import (
-    islands, lag, last_known, lead, next_known, row_number, running_max, running_sum, scan,
+    islands, lag, last_known, lead, materialize, next_known, row_number, running_max, running_sum, scan,
 )
 
 
@@ -38,7 +38,7 @@ def parse_lyric_events(df, by, order, slice_by, raw: str = "raw") -> DataFrame:
         __breaks=running_sum(marks.cast("bigint")), __state=last_known(state, inclusive=False),
     )
     step = scan(
-        step, by, order, slice_by,
+        step, by, order, slice_by, cut=True,
         __before=last_known(F.when(F.col("__sung"), F.col("__breaks")), inclusive=False),
     )
     inside = F.coalesce(F.col("__state") == "open", F.lit(False))
@@ -68,11 +68,11 @@ def repair_word_breaks(df, by, order, slice_by, raw: str = "raw") -> DataFrame:
     first two rows lose their break; the second becomes a long mark.
     """
     s = scan(
-        df, by, order, slice_by,
+        df, by, order, slice_by, cut=True,
         __p=lag(F.lit(True)),
         __r1=lead(raw), __s1=lead("surface"), __k1=lead("kana"), __b1=lead("line_break"),
     )
-    s = scan(s, by, order, slice_by, __r2=lead("__r1"))
+    s = scan(s, by, order, slice_by, cut=True, __r2=lead("__r1"))
     broken = (
         F.col("__p")
         & F.col("line_break")
@@ -87,7 +87,7 @@ def repair_word_breaks(df, by, order, slice_by, raw: str = "raw") -> DataFrame:
         & (F.col("__k1") != F.col("kana"))
     )
     s = s.withColumn("__hit", F.coalesce(broken, F.lit(False)))
-    s = scan(s, by, order, slice_by, __after=lag("__hit"))
+    s = scan(s, by, order, slice_by, cut=True, __after=lag("__hit"))
     after = F.coalesce(F.col("__after"), F.lit(False))
     return s.withColumns(
         {
@@ -104,7 +104,7 @@ def group_phrases(df, by, order, slice_by, start, end, gap, max_notes: int = 12)
     s = scan(df, by, order, slice_by, __prev=lag(end))
     new = F.coalesce(F.col(start) - F.col("__prev") >= gap, F.lit(True))
     s = islands(s, by, order, slice_by, new, "phrase")
-    s = scan(s, [*by, "phrase"], order, slice_by, __n=row_number())
+    s = scan(s, [*by, "phrase"], order, slice_by, cut=True, __n=row_number())
     part = F.floor((F.col("__n") - 1) / max_notes)
     return s.withColumn("part", part).drop("__prev", "__n")
 
@@ -122,10 +122,10 @@ def insert_melisma(df, by, order, slice_by, start, end, matched: Column, max_gap
     Rows are a single voice (no overlaps), so a chain of unmatched notes lasts
     until the first gap above ``max_gap`` since the latest matched note.
     """
-    s = scan(df.withColumn("__m", matched), by, order, slice_by, __prev=lag(end), __n=row_number())
+    s = scan(df.withColumn("__m", matched), by, order, slice_by, cut=True, __prev=lag(end), __n=row_number())
     far = F.coalesce(F.col(start) - F.col("__prev") > max_gap, F.lit(True))
     s = scan(
-        s, by, order, slice_by,
+        s, by, order, slice_by, cut=True,
         __last_m=running_max(F.when(F.col("__m"), F.col("__n"))),
         __last_far=running_max(F.when(~F.col("__m") & far, F.col("__n"))),
     )
@@ -142,7 +142,7 @@ def insert_melisma(df, by, order, slice_by, start, end, matched: Column, max_gap
 def monotone_spans(df, by, order, slice_by, start, end, min_length) -> DataFrame:
     """Spans in order: starts never go back, a minimum length, no end beyond the next start."""
     s = scan(df, by, order, slice_by, __s=running_max(start))
-    s = scan(s.withColumn("__e", F.greatest(F.col(end), F.col("__s") + min_length)), by, order, slice_by, __next=lead("__s"))
+    s = scan(s.withColumn("__e", F.greatest(F.col(end), F.col("__s") + min_length)), by, order, slice_by, cut=True, __next=lead("__s"))
     clipped = F.least(F.col("__e"), F.coalesce(F.col("__next"), F.col("__e")))
     return s.withColumns({start: F.col("__s"), end: clipped}).select(*df.columns)
 
@@ -161,7 +161,7 @@ def cascade_spans(df, by, order, slice_by, start, end, min_length, clip_to_next:
     s = scan(df, by, order, slice_by, **specs)
     raw_end = F.least(F.col(end), F.coalesce(F.col("__next"), F.col(end))) if clip_to_next else F.col(end)
     level = F.greatest(raw_end, F.col(start) + min_length) - F.col("__n") * min_length
-    s = scan(s, by, order, slice_by, __top=running_max(level), __top_before=running_max(level, inclusive=False))
+    s = scan(s, by, order, slice_by, cut=True, __top=running_max(level), __top_before=running_max(level, inclusive=False))
     before = F.col("__top_before") + (F.col("__n") - 1) * min_length
     new_start = F.greatest(F.col(start), F.coalesce(before, F.col(start)))
     new_end = F.col("__top") + F.col("__n") * min_length
@@ -219,7 +219,7 @@ def lead_cues(df, by, order, slice_by, start, show_end, lead_time) -> DataFrame:
     """Shift cues earlier (not below 0) and cut each at the start of the next one."""
     moved_start = F.greatest(F.lit(0), F.col(start) - lead_time)
     moved = df.withColumns({start: moved_start, show_end: F.greatest(moved_start, F.col(show_end) - lead_time)})
-    s = scan(moved, by, order, slice_by, __next=lead(start))
+    s = scan(moved, by, order, slice_by, cut=True, __next=lead(start))
     return s.withColumn(show_end, F.least(F.col(show_end), F.coalesce(F.col("__next"), F.col(show_end)))).drop("__next")
 
 
@@ -238,7 +238,7 @@ def prepend_title(cues: DataFrame, titles: DataFrame, by, start, end, kind: str)
 
 def idle_sections(cues: DataFrame, totals: DataFrame, by, order, slice_by, start, end) -> DataFrame:
     """Uncovered time per key as intro, interlude and outro. ``totals`` has ``total`` per key."""
-    by = list(by)
+    by, cues = list(by), materialize(cues)
     s = scan(cues, by, order, slice_by, __cover=running_max(end, inclusive=False))
     between = s.where(F.col("__cover").isNotNull() & (F.col(start) > F.col("__cover"))).select(
         *by, F.lit("interlude").alias("kind"), F.col("__cover").alias("start"), F.col(start).alias("end")
@@ -258,7 +258,7 @@ def idle_sections(cues: DataFrame, totals: DataFrame, by, order, slice_by, start
 
 def fill_timeline(cues: DataFrame, totals: DataFrame, by, order, slice_by, start, end) -> DataFrame:
     """Cues (not overlapping) and filler rows that together tile [0, total]."""
-    by = list(by)
+    by, cues = list(by), materialize(cues)
     filler = idle_sections(cues, totals, by, order, slice_by, start, end).select(
         *by, F.lit("fill").alias("kind"), "start", "end"
     )
@@ -324,7 +324,7 @@ def quantise_frames(df, by, order, slice_by, start_frame: Column, end_frame: Col
             "start_f": F.when((gap == 1) & first, cursor).otherwise(F.col("__s")),
         }
     )
-    s = scan(s, by, order, slice_by, __grow=lead("__absorb"))
+    s = scan(s, by, order, slice_by, cut=True, __grow=lead("__absorb"))
     end_f = F.col("__ef") + F.when(F.coalesce(F.col("__grow"), F.lit(False)), 1).otherwise(0)
     return s.withColumn("end_f", end_f).select(*df.columns, "start_f", "end_f", "rest_before")
 
@@ -409,9 +409,9 @@ def proportional_cuts(df, by, order, slice_by, weight: Column, length: str) -> D
     target = F.bround(L * F.col("__upto") / F.col("__total")).cast("bigint")
     limit = L - (n - i)
     level = F.least(target, limit) - i
-    s = scan(s.withColumn("__level", F.greatest(level, F.lit(0))), by, order, slice_by, __top=running_max("__level"))
+    s = scan(s.withColumn("__level", F.greatest(level, F.lit(0))), by, order, slice_by, cut=True, __top=running_max("__level"))
     cut = F.when(F.col("__i") == F.col("__n"), F.col(length)).otherwise(F.col("__top") + F.col("__i"))
-    s = scan(s.withColumn("cut_end", cut), by, order, slice_by, __prev_cut=lag("cut_end"))
+    s = scan(s.withColumn("cut_end", cut), by, order, slice_by, cut=True, __prev_cut=lag("cut_end"))
     return s.withColumn("cut_start", F.coalesce(F.col("__prev_cut"), F.lit(0))).select(
         *df.columns, "cut_start", "cut_end"
     )
@@ -442,10 +442,11 @@ def trailing_count(df, by, at: str, order, width, window, counted: Column) -> Da
     c = scan(
         df.withColumn("__c", counted.cast("bigint")), by, order, by_width(at, width), __upto=running_sum("__c")
     )
+    c = materialize(c)
     per_time = c.groupBy(*by, at).agg(F.max("__upto").alias("__cum")).withColumnRenamed(at, "__at")
     c = c.withColumn("__from", F.col(at) - window)
     now = c.join(per_time.select(*by, F.col("__at").alias(at), F.col("__cum").alias("__now")), [*by, at])
-    out = asof_join(now, per_time, by, "__from", "__at", ["__cum"], width)
+    out = asof_join(now, per_time, by, "__from", "__at", ["__cum"], width, cut=True)
     return out.withColumn(
         "recent", F.coalesce(F.col("__now"), F.lit(0)) - F.coalesce(F.col("__cum"), F.lit(0))
     ).select(*df.columns, "recent")

@@ -21,6 +21,7 @@ def asof_join(
     direction: str = "backward",
     tie: Sequence[str] = (),
     strict: bool = False,
+    cut: bool = False,
 ) -> DataFrame:
     """Add the ``take`` columns of the closest right row at or before (after) ``left_on``.
 
@@ -29,6 +30,7 @@ def asof_join(
     ``backward`` the last of them wins, for ``forward`` the first. ``strict``
     leaves out right rows at exactly the left time. Direction ``both`` gives
     ``prev_*`` (at or before) and ``next_*`` (after) columns from one scan.
+    ``cut`` as in ``scan``.
     """
     by = list(by)
     packed = F.struct(*[F.col(c).alias(c) for c in take], F.lit(True).alias("__hit"))
@@ -54,14 +56,14 @@ def asof_join(
     both = l.unionByName(r)
     order = ["__t", "__side", *ties]
     if direction == "both":
-        hit = scan(both, by, order, by_width("__t", width), __m=last_known("__r"), __n=next_known("__r"))
+        hit = scan(both, by, order, by_width("__t", width), cut, __m=last_known("__r"), __n=next_known("__r"))
         return hit.where(F.col("__l").isNotNull()).select(
             "__l.*",
             *[F.col("__m")[c].alias(f"prev_{c}") for c in take],
             *[F.col("__n")[c].alias(f"next_{c}") for c in take],
         )
     spec = last_known if direction == "backward" else next_known
-    hit = scan(both, by, order, by_width("__t", width), __m=spec("__r"))
+    hit = scan(both, by, order, by_width("__t", width), cut, __m=spec("__r"))
     return hit.where(F.col("__l").isNotNull()).select(
         "__l.*", *[F.col("__m")[c].alias(c) for c in take]
     )

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versemill.session import ensure_checkpoint_dir
+
 _SLICE = "__slice"
 
 
@@ -71,19 +73,35 @@ def by_width(column: Column | str, width: int | float) -> Column:
     return F.floor(_col(column) / F.lit(width)).cast("bigint")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write rows that several branches of a plan read to the shared checkpoint folder.
+
+    A scan reads its input twice (rows and slice summaries), so scans on top of
+    scans would compute the lowest input once per path. Cut there, a chain
+    costs one write per link, plans stay small, and a lost executor redoes one
+    link only.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scan(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
     slice_by: Column,
+    cut: bool = False,
     **out: Spec,
 ) -> DataFrame:
     """Add one column per spec, computed over rows of ``by`` in ``order``.
 
     ``slice_by`` must not decrease along ``order`` and ``order`` must be total
-    within a key. Key columns must not be null.
+    within a key. Key columns must not be null. ``cut`` materializes the input
+    first: set it where the input is itself the result of a scan or a join.
     """
     by, order = list(by), list(order)
+    if cut:
+        df = materialize(df)
     base = df.withColumns({_SLICE: slice_by, **{f"__v_{n}": s.expr for n, s in out.items()}})
 
     cell = Window.partitionBy(*by, _SLICE)
@@ -172,7 +190,7 @@ def islands(
     name: str = "island",
 ) -> DataFrame:
     """Number runs of rows; ``starts_new`` is true on the first row of a run."""
-    return scan(df, by, order, slice_by, **{name: running_sum(starts_new.cast("bigint"))})
+    return scan(df, by, order, slice_by, cut=True, **{name: running_sum(starts_new.cast("bigint"))})
 
 
 def top_rows(
@@ -204,9 +222,9 @@ def exact_quantiles(
     key). Output: ``by``, ``n`` and one column per rank.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    hist = scan(hist, by, [value], slice_by, __upto=running_sum("__c"))
+    hist = materialize(hist)
     sizes = hist.groupBy(*by).agg(F.sum("__c").alias("n"))
-    hist = hist.join(sizes, list(by))
+    hist = scan(hist, by, [value], slice_by, __upto=running_sum("__c")).join(sizes, list(by))
     picks = [
         F.min(F.when(F.col("__upto") > r, F.col(value))).alias(n) for n, r in ranks.items()
     ]

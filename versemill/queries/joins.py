@@ -8,7 +8,7 @@ from versemill import bindings as B
 from versemill.functions import kana as K
 from versemill.operators import mapping as M
 from versemill.operators import timejoin as TJ
-from versemill.plans.ordered import by_width
+from versemill.plans.ordered import by_width, materialize
 from versemill.queries.registry import query
 
 BY, ORDER = ["song_id"], ["start_ms", "note_id"]
@@ -106,7 +106,7 @@ _UNITS = r"""units AS (SELECT song_id, line_id, i AS unit, ws[i] AS w, sum(lengt
 def _units(spark, d):
     w = B.turns(spark, d).select("song_id", "line_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s]+"), 0)).alias("p", "w"))
     w = w.select("song_id", "line_id", (F.col("p") + 1).cast("bigint").alias("unit"), "w")
-    return TJ.char_spans(w, ["song_id", "line_id"], ["unit"], by_width("unit", 4096), "w")
+    return materialize(TJ.char_spans(w, ["song_id", "line_id"], ["unit"], by_width("unit", 4096), "w"))
 
 
 def _char_notes(units):
