@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versemill.functions import text as T
-from versemill.plans.ordered import all_of, any_of
+from versemill.plans.ordered import all_of, any_of, by_width, row_number, scan
 
 
 def facet_filter(selected: Mapping[str, Sequence[Column]]) -> Column:
@@ -186,8 +186,10 @@ def preview_windows(notes: DataFrame, song: str, line: str, start: str, pitch: s
     )
 
 
-def owner_jobs(jobs: DataFrame, owner: Column) -> DataFrame:
-    return jobs.where(owner).orderBy(F.col("created_h").desc(), F.col("job_id").desc())
+def owner_jobs(jobs: DataFrame, owner: str, created: str, job: str, width: int) -> DataFrame:
+    """Jobs of every owner, numbered newest first."""
+    back = jobs.withColumns({"__c": -F.col(created), "__j": -F.col(job)})
+    return scan(back, [owner], ["__c", "__j"], by_width("__c", width), place=row_number()).drop("__c", "__j")
 
 
 def accompaniment(events: DataFrame, melody: Column, is_drum: Column, pitch: str, shift: Column) -> DataFrame:

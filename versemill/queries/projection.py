@@ -177,9 +177,12 @@ def p9(spark, d):
     return P.preview_windows(n, "song_id", "line_id", "start_ms", "pitch")
 
 
-@query("p10_owner_jobs", B.with_(B.JOBS) + "SELECT job_id, created_h, status FROM jobs WHERE owner = 7")
+@query(
+    "p10_owner_jobs",
+    B.with_(B.JOBS) + "SELECT owner, job_id, status, row_number() OVER (PARTITION BY owner ORDER BY created_h DESC, job_id DESC) AS place FROM jobs",
+)
 def p10(spark, d):
-    return P.owner_jobs(B.jobs(spark, d), F.col("owner") == 7).select("job_id", "created_h", "status")
+    return P.owner_jobs(B.jobs(spark, d), "owner", "created_h", "job_id", 168).select("owner", "job_id", "status", "place")
 
 
 @query(

@@ -63,11 +63,11 @@ def s3(spark, d):
 
 @query(
     "s4_charset_triage",
-    B.with_(B.KANA_WORDS) + """SELECT word, CASE WHEN length(word) % 2 = 0 THEN 'shift_jis' ELSE 'utf-8' END AS charset, kana AS text FROM kw WHERE length(kana) > 1""",
+    B.with_(B.KANA_WORDS) + """SELECT word, CASE WHEN length(word) % 2 = 0 THEN 'shift_jis' ELSE 'utf-8' END AS charset, kana AS text FROM kw""",
 )
 def s4(spark, d):
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    words = B.kana_words(spark, d).where(F.length("kana") > 1)
+    words = B.kana_words(spark, d)
     content = F.when(F.length("word") % 2 == 0, F.encode("kana", "Shift_JIS")).otherwise(
         F.encode(F.concat(F.lit("﻿"), "kana"), "UTF-8")
     )
