@@ -9,6 +9,7 @@ greedily. Pieces then look up their sequence by their rank among pieces of their
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,54 +26,62 @@ WINDOW = 1024
 FILLERS = 32
 # Pieces of one length that are ranked together at most, on average.
 RANKED = 20_000
-# Distinct words whose ids a task remembers at most.
-REMEMBERED = 1_000_000
-# Documents whose new words are encoded together.
-TOGETHER = 256
 END_ID = 0
 
 
-def _words(text: str) -> list[str] | None:
-    """The text's words, those after a line break with it, if lone blanks and line breaks are all that parts them.
-
-    The tokenizer starts a new token at each such place, so words can be encoded one by
-    one: the first as it is, the others behind a blank unless they begin with a line break.
-    """
+def _lone_breaks(text: str) -> bool:
+    """Whether single blanks and line breaks between visible characters are all white space there is."""
     words = text.split()
     between = len(text) - len("".join(words))
-    if len(words) != between + 1 or text.count(" ") + text.count("\n") != between:
+    return len(words) == between + 1 and text.count(" ") + text.count("\n") == between
+
+
+# Where white space stands alone, this first split equals the byte-level one without looking ahead,
+# which the faster matcher needs.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+
+
+def _byte_ranks(content: dict) -> dict[bytes, int] | None:
+    """The merge rank of each token's bytes, if the file is plain byte-level BPE with ids in merge order."""
+    model, split = content["model"], content.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
+    if not plain or content.get("normalizer") or model.get("ignore_merges") or not split.get("use_regex", True):
         return None
-    return text.replace("\n", " \n").split(" ")
+    # Visible Latin-1 characters stand for their own byte, the other bytes follow from 256 on.
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    symbol = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*own}))}
+    special = {t["content"] for t in content.get("added_tokens", [])}
+    ranks = {bytes(map(symbol.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"].get(a + b) for a, b in merges]
+    return ranks if made == list(range(256, 256 + len(made))) and len(ranks) == 256 + len(made) else None
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids of the tokenizer at ``path``; repeated words are encoded once."""
+    """Texts to little-endian 32-bit ids of the tokenizer at ``path``.
+
+    Ordinary texts of a byte-level BPE take a faster implementation of the same merges;
+    texts with other white space or with a special token's string, and other kinds of
+    tokenizer, take the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.specials) else _words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split if words for w in words[1:] if w not in known})
-        known.update(zip(new, self._encode([w if w[0] == "\n" else " " + w for w in new]), strict=True))
-        # First words and texts with other white space are encoded as they are.
-        heads = self._encode([t if words is None else words[0] for t, words in zip(texts, split, strict=True)])
-        return [
-            head if words is None else head + b"".join(map(known.__getitem__, words[1:]))
-            for head, words in zip(heads, split, strict=True)
-        ]
+        with open(path, encoding="utf-8") as file:
+            ranks = _byte_ranks(json.load(file))
+        self.fast = ranks and tiktoken.Encoding("lone", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.fast and _lone_breaks(text) and not any(s in text for s in self.specials):
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def _cut(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -83,15 +92,12 @@ def _cut(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for low in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(low, TOGETHER)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        piece = ids[4 * start : 4 * (start + window)]
-                        rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = encoder.encode(text.as_py() or "") + end
+                total = len(ids) // 4
+                for start in range(0, total, window):
+                    piece = ids[4 * start : 4 * (start + window)]
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], list(names))
 

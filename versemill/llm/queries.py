@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import decontaminate, packing, quality, secret_scan, simhash
-from versemill.llm.common import read
+from versemill.llm import archives, decontaminate, packing, quality, secret_scan, simhash, stratified_shards
+from versemill.llm.common import read, shared_path, stored
 from versemill.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -82,3 +82,87 @@ def benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, d, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
+@query("op2_warc")
+def warc(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as legacy archives, converted to WARC and read back."""
+    pages = read(spark, d, "pages")
+    head = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "),
+        F.coalesce(F.col("page_id").cast("string"), F.lit("")),
+    )
+    legacy, modern = shared_path(spark, "arc"), shared_path(spark, "warc")
+    archives.write_arc(
+        pages.select(F.col("page_id").alias("key"), "url", head.alias("http"), F.col("html").alias("payload")), legacy
+    )
+    page_id = F.regexp_extract("http", "(?m)^X-Page-Id: (-?[0-9]+)", 1)
+    key = F.when(page_id != "", page_id.cast("bigint"))
+    archives.write_warc(archives.to_warc(archives.read_arc(spark, legacy), key), modern)
+    back = archives.read_warc(spark, modern).where("problem is null")
+    back = back.select(
+        key.alias("page_id"),
+        "record_type",
+        "record_id",
+        "refers_to_id",
+        "digest",
+        F.octet_length("payload").cast("bigint").alias("stored_bytes"),
+        F.sha1("payload").alias("stored_digest"),
+    )
+    back = stored(back, "archived")
+    holders = back.where("record_type = 'response'").dropDuplicates(["record_id"]).select(
+        F.col("record_id").alias("refers_to_id"),
+        F.col("page_id").alias("refers_to"),
+        F.col("stored_bytes").alias("held_bytes"),
+    )
+    revisit = F.col("record_type") == "revisit"
+    return back.join(holders, "refers_to_id", "left").select(
+        "page_id",
+        F.when(revisit, F.col("held_bytes")).otherwise(F.col("stored_bytes")).alias("payload_bytes"),
+        F.when(revisit, archives.from_base32(F.substring("digest", 6, 32)))
+        .otherwise(F.col("stored_digest"))
+        .alias("payload_digest"),
+        "record_type",
+        F.when(revisit, F.col("refers_to")).alias("refers_to"),
+    )
+
+
+ORACLE["op2_warc"] = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+h AS (SELECT payload_digest, payload_bytes, max(page_id) AS holder FROM s
+  WHERE payload_bytes >= {archives.REVISIT_BYTES} GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN holder IS NULL OR holder IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to
+FROM s LEFT JOIN h USING (payload_digest, payload_bytes)"""
+
+# CRC-32 by its rule: a table of 256 remainders, then one step per byte.
+_CRC_SQL = """rounds AS (SELECT range AS b, 0 AS k, range::UBIGINT AS c FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM rounds WHERE k < 8),
+steps AS (SELECT list(c ORDER BY b) AS tab FROM rounds WHERE k = 8)"""
+
+_SHARDS_SQL = f"""WITH RECURSIVE {_CRC_SQL},
+b AS (SELECT doc_id, source, coalesce(text, '') AS t,
+  md5('{stratified_shards.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '?') || '|' || coalesce(text, '')) AS key FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) - 1 AS rk, count(*) OVER (PARTITION BY source) AS n FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * rk + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), source NULLS FIRST, key, doc_id) - 1 AS pos,
+  count(*) OVER () AS total FROM r)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS UBIGINT)),
+    lambda c, x: xor(c >> 8, tab[CAST((xor(c, x) & 255) + 1 AS BIGINT)]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS BIGINT) AS text_crc32,
+  'rows' AS law, CAST(pos * {stratified_shards.SHARDS} // total AS INTEGER) AS shard,
+  CAST(pos - ((pos * {stratified_shards.SHARDS} // total) * total + {stratified_shards.SHARDS - 1}) // {stratified_shards.SHARDS} AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM p, steps"""
+
+
+@query("op3_sharding", _SHARDS_SQL)
+def sharding(spark: SparkSession, d: str) -> DataFrame:
+    return stratified_shards.assign(read(spark, d, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
