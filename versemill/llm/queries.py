@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.llm import archives, decontaminate, packing, quality, secret_scan, simhash, stratified_shards
+from versemill.llm import (
+    archives,
+    decontaminate,
+    language_id,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    stratified_shards,
+    toxicity,
+)
 from versemill.llm.common import read, shared_path, stored
+from versemill.llm.language_id import held_out
 from versemill.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -166,3 +177,22 @@ def sharding(spark: SparkSession, d: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    machine = toxicity.fit(docs, read(spark, d, "labels"), ~held_out())
+    return toxicity.score(docs, machine).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op7_language_id")
+def language_id_query(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    found = language_id.identify(docs, language_id.fit(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
