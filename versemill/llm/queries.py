@@ -14,6 +14,7 @@ from versemill.llm import (
     secret_scan,
     simhash,
     stratified_shards,
+    suffix_dedup,
     toxicity,
 )
 from versemill.llm.common import read, shared_path, stored
@@ -196,3 +197,8 @@ def language_id_query(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     found = language_id.identify(docs, language_id.fit(docs, ~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@query("op1_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, d, "documents"))
