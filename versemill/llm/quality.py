@@ -113,37 +113,28 @@ def window_hashes(words: Column, width: int = 5) -> Column:
     )
 
 
-def repeated_words(windows: Column, width: int = 5) -> Column:
-    """How many words lie in windows whose hash occurs twice or more in the text.
+def with_repeated_words(rows: DataFrame, windows: str, name: str, width: int = 5) -> DataFrame:
+    """Replace the window hashes by how many words lie in windows that occur twice or more in the text.
 
     Texts without a repeat, nearly all, are told by a hash set; the others sort
-    (hash, place), so a long text of repeats costs n log n.
+    (hash, place), so a long text of repeats costs n log n. Each step is a projection of
+    its own, so that none is computed twice.
     """
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def repeated(state: Column) -> Column:
-        return F.array_sort(
-            F.transform(
-                F.filter(
-                    F.arrays_zip(
-                        state.alias("x"),
-                        F.concat(F.array(F.lit(None)), F.slice(state, 1, F.size(state) - 1)).alias("p"),
-                        F.slice(state, 2, F.size(state)).alias("n"),
-                    ),
-                    lambda z: (z["x"]["h"].eqNullSafe(z["p"]["h"])) | (z["x"]["h"].eqNullSafe(z["n"]["h"])),
-                ),
-                lambda z: z["x"]["i"],
-            )
-        )
-
-    places = repeated(placed)
-    reach = F.zip_with(
-        places,
-        F.slice(places, 2, F.size(places)),
-        lambda at, following: F.least(F.coalesce(following - at, F.lit(width)), F.lit(width)),
+    others = [c for c in rows.columns if c != windows]
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    placed = rows.select(*others, F.when(repeats, pairs).alias("placed"))
+    twice = F.filter(
+        "placed",
+        lambda x, k: (F.get("placed", k - 1)["h"].eqNullSafe(x["h"])) | (F.get("placed", k + 1)["h"].eqNullSafe(x["h"])),
+    )
+    found = placed.select(*others, twice.alias("twice"))
+    places = found.select(*others, F.sort_array(F.transform("twice", lambda x: x["i"])).alias("places"))
+    reach = F.transform(
+        "places", lambda at, k: F.least(F.coalesce(F.get("places", k + 1) - at, F.lit(width)), F.lit(width))
     )
     covered = F.aggregate(reach, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("bigint")).otherwise(covered)
+    return places.select(*others, F.coalesce(covered, F.lit(0)).cast("bigint").alias(name))
 
 
 def assess(
@@ -165,10 +156,10 @@ def assess(
         window_hashes(F.col("words")).alias("windows"),
         gram_buckets(F.col("text"), buckets).alias("single"),
     )
-    third = second.select(
+    third = with_repeated_words(second, "windows", "n_repeat_words").select(
         "row",
         *counts,
-        repeated_words(F.col("windows")).alias("n_repeat_words"),
+        "n_repeat_words",
         F.concat("single", pair_buckets(F.col("single"), buckets)).alias("all"),
     )
     table = F.split(F.lit(weights), ",").cast("array<int>")
