@@ -70,12 +70,12 @@ def _rolling(x: np.ndarray, size: int) -> np.ndarray:
         while width <= size:
             if size & width:
                 shifted = np.zeros_like(result)
-                shifted[: len(x) - done] = power[done:]
+                shifted[: max(len(x) - done, 0)] = power[done:]
                 result = result + shifted * total_scale
                 done += width
                 total_scale = total_scale * scale
             nxt = power.copy()
-            nxt[: len(x) - width] += power[width:] * scale
+            nxt[: max(len(x) - width, 0)] += power[width:] * scale
             power, scale, width = nxt, scale * scale, width * 2
         result ^= result >> np.uint64(29)
         result *= np.uint64(0xBF58476D1CE4E5B9)
