@@ -27,10 +27,16 @@ from pyspark.sql import functions as F
 PIECE = 9
 EDITS = 0.1
 # Positions sampled in each repetition; repetitions follow from the target recall.
-SAMPLES = 4
+SAMPLES = 5
 RECALL = 0.99
-# Share of embedded symbols that a window at the allowed distance is taken to keep.
-AGREE = 0.7
+# Share of embedded symbols that a window near the allowed distance is taken to keep.
+AGREE = 0.5
+# Share of all sampled symbols in which a pair that meets agrees, too; strangers agree in an eighth.
+NEAR = 0.25
+# Independent walks: one that starts an edit off may stay off for long.
+WALKS = 3
+# Walked steps per character of an item: two would read it whole on average.
+STEPS = 1.9
 # Benchmark items sent to the tasks at a time; larger benchmarks take more passes.
 BLOCK = 5_000
 SEED = 20_240_229
@@ -84,26 +90,23 @@ def _rolling(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def _bits(steps: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2, size=(steps, 256), dtype=np.uint8)
+    """The shared random moves of each walk: by step and symbol."""
+    return np.random.default_rng(SEED).integers(0, 2, size=(WALKS, steps, 256), dtype=np.uint8)
 
 
-def embed(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Embedded symbols of windows at the step numbers ``wanted`` (one row per window, ascending).
+def _bytes(symbols: np.ndarray, room: int) -> np.ndarray:
+    """One byte per symbol for the walk, and ``room`` more so that no walk leaves the array."""
+    folded = ((symbols * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+    return np.append(folded, np.zeros(room, dtype=np.uint8))
 
-    A window of m symbols is walked for 3 m steps; past its end it reads ``END``.
-    """
-    steps = int(wanted.max()) + 1 if wanted.size else 0
-    bits = _bits(steps)
-    at, stop = starts.copy(), np.minimum(starts + sizes, len(symbols))
-    out = np.zeros(wanted.shape, dtype=np.uint32)
-    column = np.zeros(len(starts), dtype=np.int64)
-    everyone = np.arange(len(starts))
-    for j in range(steps):
-        symbol = np.where(at < stop, symbols[np.minimum(at, len(symbols) - 1)], END)
-        hit = (column < wanted.shape[1]) & (wanted[everyone, np.minimum(column, wanted.shape[1] - 1)] == j)
-        out[hit, column[hit]] = symbol[hit]
-        column += hit
-        at += bits[j][(symbol * np.uint32(0x9E3779B1)) >> np.uint32(24)]
+
+def embed(folded: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Embedded symbols of the walks from ``starts``, one row per step."""
+    out = np.empty((len(bits), len(starts)), dtype=np.uint8)
+    at = starts.astype(np.int64)
+    for j, move in enumerate(bits):
+        np.take(folded, at, out=out[j], mode="clip")
+        at += np.take(move, out[j])
     return out
 
 
@@ -149,16 +152,20 @@ class Items:
         self.size = np.array([len(s) for s in self.symbols], dtype=np.int64)
         pieces = np.maximum(self.size // PIECE, 1)
         self.edits = np.minimum((self.size * edits).astype(np.int64), pieces - 1)
-        repeats = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLES)))
+        repeats = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLES) / WALKS))
+        self.steps = np.maximum((self.size * STEPS).astype(np.int64), 1)
+        self.room = int(self.steps.max(initial=1)) + 1
+        self.bits = _bits(self.room)
         rng = np.random.default_rng(SEED + 1)
-        wanted = np.sort(rng.random((len(kept), repeats * SAMPLES)), axis=1)
-        self.wanted = (wanted * 3 * self.size[:, None]).astype(np.int64)
-        self.order = rng.permuted(np.tile(np.arange(repeats * SAMPLES), (len(kept), 1)), axis=1)
-        for k in range(1, self.wanted.shape[1]):
-            self.wanted[:, k] = np.maximum(self.wanted[:, k], self.wanted[:, k - 1] + 1)
+        self.wanted = (rng.random((len(kept), repeats * SAMPLES)) * self.steps[:, None]).astype(np.int64)
         flat = np.concatenate([*self.symbols, np.zeros(1, np.uint32)])
         starts = np.cumsum(np.append(0, self.size))[:-1]
-        self.embedded = embed(flat, starts, self.size, self.wanted)
+        self.sampled = np.zeros((WALKS, *self.wanted.shape), dtype=np.uint8)
+        for k, s in enumerate(self.symbols):
+            folded = _bytes(s, self.room)
+            for w in range(WALKS):
+                walked = embed(folded, np.zeros(1), self.bits[w, : self.steps[k]])[:, 0]
+                self.sampled[w, k] = walked[self.wanted[k]]
         self.anchors: dict[int, tuple[np.ndarray, ...]] = {}
         for width in sorted({int(min(PIECE, m)) for m in self.size}):
             mine = np.flatnonzero(np.minimum(self.size, PIECE) == width)
@@ -182,18 +189,23 @@ class Items:
             found.append(np.stack([item[which], np.repeat(at, count) - offset[which]]))
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
         both[1] = np.maximum(both[1], 0)
-        if both.shape[1]:
-            both = np.unique(both, axis=1)
-        return both[0], both[1]
+        item, start = np.divmod(np.unique(both[0] * len(symbols) + both[1]), len(symbols))
+        return item, start
 
     def alike(self, symbols: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Which windows agree with their item on all sampled positions of some repetition."""
         result = np.zeros(len(item), dtype=bool)
-        for a in range(0, len(item), 1 << 15):
-            part = slice(a, a + (1 << 15))
-            seen = embed(symbols, start[part], self.size[item[part]], self.wanted[item[part]])
-            same = np.take_along_axis(seen == self.embedded[item[part]], self.order[item[part]], axis=1)
-            result[part] = same.reshape(len(same), -1, SAMPLES).all(axis=2).any(axis=1)
+        folded = _bytes(symbols, self.room)
+        # Candidates come by item; those of like lengths are walked together.
+        order = np.argsort(self.size[item], kind="stable")
+        for low in range(0, len(order), 1 << 13):
+            some = order[low : low + (1 << 13)]
+            mine = item[some]
+            for w in range(WALKS):
+                walked = embed(folded, start[some], self.bits[w, : self.steps[mine].max()])
+                same = walked[self.wanted[mine], np.arange(len(some))[:, None]] == self.sampled[w, mine]
+                met = same.reshape(len(some), -1, SAMPLES).all(axis=2).any(axis=1)
+                result[some] |= met & (same.mean(axis=1) >= NEAR)
         return result
 
 
