@@ -22,7 +22,6 @@ def blank_missing(c: Column) -> Column:
 
 def clean_cell(c: Column) -> Column:
     """No byte-order mark, one line, no ASCII comma, trimmed."""
-    flat = F.regexp_replace(F.translate(c, "﻿,", ""), "[\r\n]+", " ")
     flat = F.regexp_replace(F.regexp_replace(c, "﻿", ""), "\r\n|\r|\n", " ")
     return F.trim(F.translate(flat, ",", "、"))
 

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def fold_sorted(
@@ -24,28 +25,31 @@ def fold_sorted(
     step: Callable[[object, dict], tuple[object, tuple]],
     out_schema: str,
 ) -> DataFrame:
-    """Add columns computed by ``step(state, row) -> (state, values)``; state starts as None per key."""
+    """Add columns computed by ``step(state, row) -> (state, values)``; state starts as None per key.
+
+    The step sees Python values (whole numbers stay whole, nulls are None); the
+    columns themselves are passed on as they came.
+    """
     by, order = list(by), list(order)
     added = T.StructType.fromDDL(out_schema)
     schema = T.StructType([*df.schema.fields, *added.fields])
-    names = [f.name for f in added.fields]
     columns = df.columns
     key_at = [columns.index(c) for c in by]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for pdf in batches:
-            rows = zip(*[pdf[c].tolist() for c in columns])
+        fields = list(to_arrow_schema(added))
+        for batch in batches:
             values = []
-            for row in rows:
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 k = tuple(row[i] for i in key_at)
                 if k != key:
                     key, state = k, None
-                state, out = step(state, dict(zip(columns, row)))
+                state, out = step(state, dict(zip(columns, row, strict=True)))
                 values.append(out)
-            extra = pd.DataFrame(values, columns=names, index=pdf.index)
-            yield pd.concat([pdf, extra], axis=1)
+            results = [pa.array([v[i] for v in values], f.type) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *results], [*batch.schema.names, *(f.name for f in fields)]
+            )
 
-    return (
-        df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema=schema)
-    )
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema=schema)

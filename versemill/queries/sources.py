@@ -122,7 +122,7 @@ def s7(spark, d):
     region = B.table(spark, d, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
     nation = B.table(spark, d, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("label"))
     supplier = B.table(spark, d, "supplier").select(key("s", "s_suppkey").alias("id"), key("n", "s_nationkey").alias("parent"), F.col("s_name").alias("label"))
-    return D.flatten_groups(region.unionByName(nation).unionByName(supplier), max_depth=3)
+    return D.flatten_groups(region.unionByName(nation).unionByName(supplier))
 
 
 @query(

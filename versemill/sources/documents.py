@@ -63,18 +63,26 @@ def editor_words(docs: DataFrame) -> DataFrame:
     ).select("song_id", "line_id", F.col("word_no").cast("bigint").alias("word_no"), "word.surface")
 
 
-def flatten_groups(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Leaves of a settings tree with their path of labels.
+def flatten_groups(nodes: DataFrame) -> DataFrame:
+    """Leaves of a settings tree with their path of labels, however deep.
 
-    ``nodes``: id, parent (null at the root), label. One join per level; the
-    levels are the depth of the settings, not of the data.
+    ``nodes``: id, parent (null at the root), label. One join per level until no
+    leaf has a parent left; the levels are the depth of the settings, not of the
+    data. Nodes that are their own ancestors are an error.
     """
     parents = nodes.select(F.col("parent").alias("id")).where(F.col("id").isNotNull()).distinct()
     leaves = nodes.join(parents, "id", "left_anti").select(
         F.col("id").alias("leaf"), F.col("parent").alias("up"), F.col("label").alias("path")
     )
     above = nodes.select(F.col("id").alias("up"), F.col("parent").alias("__next"), F.col("label").alias("__label"))
-    for _ in range(max_depth):
+    most = None
+    while True:
+        open_ = leaves.where("up is not null").count()
+        if not open_:
+            break
+        most = nodes.count() if most is None else most - 1
+        if most == 0:
+            raise ValueError("a node is its own ancestor")
         leaves = leaves.join(above, "up", "left").select(
             "leaf",
             F.col("__next").alias("up"),
