@@ -72,7 +72,7 @@ def test_large_buckets_lose_no_link(spark, bucket):
     root = {v: v for v in values}
     for _ in values:
         for a, b in itertools.combinations(values, 2):
-            if (a ^ b & -1 if False else (a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
                 root[a] = root[b] = min(root[a], root[b])
         if all(root[a] == root[b] for a, b in itertools.combinations(values, 2) if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2):
             break
