@@ -42,7 +42,7 @@ def test_pairs_are_learned():
     rows, labels = [], []
     for _ in range(3_000):
         a, b = rng.random(2) < 0.5
-        rows.append(np.array([7] + [1] * a + [2] * b + list(rng.integers(10, 60, 3))))
+        rows.append(np.array([7] + [1] * int(a) + [2] * int(b) + list(rng.integers(10, 60, 3))))
         labels.append(int(a and b))
     machine = toxicity.train(rows, np.array(labels), features=64, deviations=3.0, epochs=15)
     odds = machine.odds(np.array([1, 2, 1, 2]), np.array([0, 1, 2, 4]))
