@@ -169,7 +169,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     The row with the smallest id stays (null ids come last), of rows with that id the
     one with the smallest text hash, of rows equal in both any one.
     """
-    labelled = stored(near_duplicates(docs, id_col, text_col, **options), "labelled")
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stand for the components (column ``root``) of ``labelled``."""
+    labelled = stored(labelled, "labelled")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     first = labelled.groupBy("root").agg(F.min(order).alias("m")).select("m.doc_id", "m.text_key")
     rows = docs.select(
