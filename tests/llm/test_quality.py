@@ -76,3 +76,10 @@ def test_clean_labelled_documents_stay(spark, sf, docs):
     rows = rows.select("row.doc_id", "base_failed", "kept").join(labels, "doc_id")
     assert rows.where("quality = 1 and not base_failed and not kept").count() == 0
     assert rows.where("quality = 0 and kept").count() <= 1
+
+
+def test_all_trusted_documents_count(spark):
+    """More trusted ids than were once sent to the tasks; trusting every document makes all ratios zero."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('w', id % 5000) AS text")
+    trusted = docs.select("doc_id")
+    assert set(quality.fit_ratio(docs, trusted).split(",")) == {"0"}

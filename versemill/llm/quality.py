@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from versemill.llm.common import exploded, passing, words_of
 
 BUCKETS = 1 << 16
-# Most trusted documents whose ids are sent to every task.
-TRUSTED = 50_000
 # A text is dropped if its mean log ratio is below this many thousandths of a nat.
 THRESHOLD = -400
 
@@ -46,25 +44,22 @@ def fit_ratio(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = BUCKETS,
-    max_trusted: int = TRUSTED,
     alpha: int = 1,
 ) -> str:
     """Comma-joined weights of all buckets: log P(bucket | trusted) - log P(bucket | corpus), in thousandths.
 
-    ``trusted`` names documents by id; of more than ``max_trusted`` ids those with the
-    smallest hashes count, which bounds what is sent to every task. The corpus side
-    counts every gram of every document. The result has one number per bucket.
+    ``trusted`` names documents by id; all of them count, and adaptive execution chooses
+    how they are joined. The corpus side counts every gram of every document. The result
+    has one number per bucket.
     """
     ids = (
         trusted.select(F.col(id_col).cast("bigint").alias("id"))
         .where("id is not null")
         .distinct()
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_trusted)
         .select("id", F.lit(1).alias("in_target"))
     )
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(ids), "id", "left").select(
+    rows = rows.join(ids, "id", "left").select(
         F.coalesce("in_target", F.lit(0)).alias("target"), gram_buckets(F.col("text"), buckets).alias("single")
     )
     both = rows.select("target", F.concat("single", pair_buckets(F.col("single"), buckets)).alias("all"))
