@@ -87,3 +87,20 @@ def test_odd_rows(spark, items, odd_wide, odd_rows, none):
     assert kept.columns == odd_wide.columns and kept.count() == len(odd_rows) - len(got)
     assert d.leaks(none, items).count() == 0 and d.keep_clean(none, items).count() == 0
     assert d.leaks(odd_wide, bench.limit(0)).count() == 0
+
+
+def test_items_that_lack_their_first_characters(spark, items):
+    rows, want = [(-1, "An unrelated text stands before them.")], set()
+    for r in items.collect():
+        item = plain(r.text)
+        allowed = min(int(len(item) * d.EDITS), len(item) // d.PIECE - 1)
+        for n in {1, allowed, item.find(" ") + 1}:
+            if n and len(item) - len(plain(item[n:])) <= allowed:
+                want.add((len(rows), r.item_id))
+                rows.append((len(rows), item[n:]))
+    assert want
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        found = {(r.doc_id, r.item_id) for r in d.leaks(frame.repartition(parts, "doc_id"), items).collect()}
+        assert want <= found
+        assert not d.keep_clean(frame, items).where("doc_id >= 0").count()

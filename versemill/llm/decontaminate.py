@@ -177,8 +177,13 @@ class Items:
             seen[keys >> np.uint64(44)] = True
             self.anchors[width] = (keys[by], item[by], offset[by], seen)
 
-    def places(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start) of all windows that hold a piece of an item at its own place."""
+    def places(self, symbols: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start, cut) of all windows that hold a piece of an item at its own place.
+
+        ``edges`` are the texts' first symbols. Where a text lacks some of the item's
+        first symbols, the window starts with the text and is ``cut``; it cannot
+        qualify by this piece if more symbols are missing than edits allowed.
+        """
         found = []
         for width, (keys, item, offset, seen) in self.anchors.items():
             hashes = _rolling(symbols, width)
@@ -186,11 +191,16 @@ class Items:
             low, high = (np.searchsorted(keys, hashes[at], side) for side in ("left", "right"))
             at, low, count = at[high > low], low[high > low], (high - low)[high > low]
             which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.append(np.stack([item[which], np.repeat(at, count) - offset[which]]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        both[1] = np.maximum(both[1], 0)
-        item, start = np.divmod(np.unique(both[0] * len(symbols) + both[1]), len(symbols))
-        return item, start
+            place = np.repeat(at, count)
+            first = edges[np.searchsorted(edges, place, side="right") - 1]
+            missing = first - (place - offset[which])
+            near = missing <= self.edits[item[which]]
+            start = np.maximum(place - offset[which], first)
+            found.append(np.stack([item[which], start, missing > 0])[:, near])
+        both = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+        window, cut = np.divmod(np.unique((both[0] * len(symbols) + both[1]) * 2 + both[2]), 2)
+        item, start = np.divmod(window, len(symbols))
+        return item, start, cut.astype(bool)
 
     def alike(self, symbols: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Which windows agree with their item on all sampled positions of some repetition."""
@@ -236,8 +246,11 @@ def _verified(items: Items, group: list[tuple[int | None, str]]) -> list[tuple]:
     gap = np.array([END], dtype=np.uint32)
     flat = np.concatenate([x for symbols, _ in parts for x in (symbols, gap)])
     edges = np.cumsum([0] + [len(s) + 1 for s, _ in parts])
-    item, start = items.places(flat)
-    hit = items.alike(flat, item, start) if len(item) else np.zeros(0, dtype=bool)
+    item, start, hit = items.places(flat, edges[:-1])
+    # The walks of a cut window start apart from the item's, so it is verified without them.
+    walked = np.flatnonzero(~hit)
+    if len(walked):
+        hit[walked] = items.alike(flat, item[walked], start[walked])
     item, start = item[hit], start[hit]
     doc = np.searchsorted(edges, start, side="right") - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
