@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from versemill.llm import (
     archives,
     decontaminate,
+    fill_in_middle,
     language_id,
     packing,
     quality,
@@ -202,3 +203,32 @@ def language_id_query(spark: SparkSession, d: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.repeated_passages(read(spark, d, "documents"))
+
+
+_FILL_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (length(t) + 1) AS c1,
+  ('0x' || substr(h, 9, 8))::BIGINT % (length(t) + 1) AS c2, CASE WHEN t = '' OR contains(t, '{fill_in_middle.PREFIX}')
+    OR contains(t, '{fill_in_middle.SUFFIX}') OR contains(t, '{fill_in_middle.MIDDLE}')
+    OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, least(c1, c2)) AS prefix, substr(t, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS middle,
+  substr(t, greatest(c1, c2) + 1) AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(least(c1, c2) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(greatest(c1, c2) - least(c1, c2) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fill_in_middle.PREFIX}' || prefix || '{fill_in_middle.SUFFIX}' || suffix
+    || '{fill_in_middle.MIDDLE}' || middle ELSE '{fill_in_middle.SUFFIX}' || suffix || '{fill_in_middle.PREFIX}' || prefix
+    || '{fill_in_middle.MIDDLE}' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+@query("op13_fill_in_middle", _FILL_SQL)
+def fill_in_middle_query(spark: SparkSession, d: str) -> DataFrame:
+    out = fill_in_middle.arrange(read(spark, d, "documents"))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
