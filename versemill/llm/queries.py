@@ -11,6 +11,7 @@ from versemill.llm import (
     fill_in_middle,
     language_id,
     packing,
+    personal_data,
     quality,
     secret_scan,
     simhash,
@@ -232,3 +233,74 @@ def fill_in_middle_query(spark: SparkSession, d: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _proposals_sql(kind: str, passes: str) -> str:
+    """Spans of one pattern that pass a condition on the match ``m`` and its digits ``g``."""
+    pattern = _quoted(personal_data.PATTERNS.get(kind, personal_data.PATTERNS["card"]))
+    return f"""SELECT id, {personal_data.KINDS.index(kind)} AS k, '{kind}' AS kind, s, e FROM (
+  SELECT id, t, m, regexp_replace(m, '[^0-9]', '', 'g') AS g, p0 + length(b) AS s, p0 + length(b) + length(m) AS e FROM (
+    SELECT id, t, m, b, coalesce(sum(length(m) + length(b)) OVER (PARTITION BY id
+      ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0
+    FROM (SELECT id, t, unnest(regexp_extract_all(t, '{pattern}')) AS m,
+      unnest(list_slice(string_split_regex(t, '{pattern}'), 1, len(regexp_extract_all(t, '{pattern}')))) AS b,
+      unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i FROM d))) WHERE {passes}"""
+
+
+_LUHN_SQL = """list_sum(list_transform(string_split(reverse(g), ''), lambda x, i:
+  CASE WHEN i % 2 = 1 THEN TRY_CAST(x AS INT) ELSE (2 * TRY_CAST(x AS INT)) // 10 + (2 * TRY_CAST(x AS INT)) % 10 END)) % 10 = 0"""
+_MOD97_SQL = """list_reduce(list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''),
+  lambda c: coalesce(TRY_CAST(c AS INT), ascii(c) - 55)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97, 0) = 1"""
+_ALONE_SQL = """NOT regexp_matches(substr(t, CAST(s AS BIGINT), CASE WHEN s > 0 THEN 1 ELSE 0 END) || substr(t, CAST(e AS BIGINT) + 1, 1), '[A-Za-z0-9+.-]')"""
+_PASSES_SQL = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST(x AS BIGINT) > 255)) = 0",
+    "card": f"length(g) BETWEEN 16 AND 19 AND {_LUHN_SQL}",
+    "phone": "length(g) BETWEEN 8 AND 15",
+    "iban": f"{_ALONE_SQL} AND {_MOD97_SQL}",
+    "shortcard": f"length(g) BETWEEN 13 AND 15 AND {_LUHN_SQL}",
+    "ssn": f"{_ALONE_SQL} AND substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 1) <> '9' AND substr(m, 5, 2) <> '00' AND substr(m, 8) <> '0000'",
+    "localphone": f"{_ALONE_SQL} AND length(g) BETWEEN 9 AND 12",
+}
+
+
+def _near_sql(words: str) -> str:
+    return f"regexp_matches(near, '{_quoted(personal_data.words_pattern(words))}')" if words else "false"
+
+
+_SCORES_SQL = "\n".join(
+    f"WHEN '{k}' THEN {r.score + r.checksum} + CASE WHEN {_near_sql(r.words)} THEN {r.raised} ELSE 0 END"
+    f" - CASE WHEN {_near_sql(r.against)} THEN {r.lowered} ELSE 0 END"
+    for k, r in personal_data.RULES.items()
+)
+_PERSONAL_SQL = f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+proposed AS ({" UNION ALL ".join(_proposals_sql(k, p) for k, p in _PASSES_SQL.items())}),
+free AS (SELECT * FROM proposed p WHERE k < {len(personal_data.BASE)} OR NOT EXISTS (SELECT 1 FROM proposed b
+  WHERE b.id = p.id AND b.k < {len(personal_data.BASE)} AND b.s < p.e AND p.s < b.e)),
+placed AS (SELECT f.*, substr(' ' || t, CAST(greatest(s + 1 - {personal_data.BEFORE}, 0) AS BIGINT) + 1,
+    CAST(least(s + 1, {personal_data.BEFORE}) AS BIGINT)) || chr(10) || substr(t || ' ', CAST(e AS BIGINT) + 1, {personal_data.AFTER}) AS near
+  FROM free f JOIN d USING (id)),
+scored AS (SELECT *, greatest(0, least(100, CASE kind {_SCORES_SQL} END)) AS score FROM placed),
+kept AS (SELECT * FROM scored WHERE k < {len(personal_data.BASE)} OR score >= {personal_data.LEAST})
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+  count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY k, s) FILTER (k < {len(personal_data.BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY k, s), '') AS spans,
+  coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY k, s), '') AS scores
+FROM d LEFT JOIN kept ON d.id = kept.id GROUP BY d.id, d.doc_id"""
+
+
+@query("op11_personal_data", _PERSONAL_SQL)
+def personal_data_query(spark: SparkSession, d: str) -> DataFrame:
+    found = F.col("found")
+    return personal_data.scan(read(spark, d, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"),
+        *(personal_data.number_of(found, kind).alias(f"n_{kind}") for kind in personal_data.BASE),
+        F.sha2(personal_data.joined(found, base=True), 256).alias("base_sha256"),
+        personal_data.joined(found).alias("spans"),
+        F.array_join(F.transform(found, lambda x: x["score"].cast("string")), ",").alias("scores"),
+    )
