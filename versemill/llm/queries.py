@@ -18,6 +18,7 @@ from versemill.llm import (
     stratified_shards,
     suffix_dedup,
     toxicity,
+    vector_codes,
 )
 from versemill.llm.common import read, shared_path, stored
 from versemill.llm.language_id import held_out
@@ -304,3 +305,46 @@ def personal_data_query(spark: SparkSession, d: str) -> DataFrame:
         personal_data.joined(found).alias("spans"),
         F.array_join(F.transform(found, lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
+
+
+# Four components a part, as the given table has.
+_PLACES = range(4)
+
+
+def _assigned_sql(name: str, books: str) -> str:
+    """Per part the nearest entry and its distance: distance * entries + entry is smallest."""
+    n = vector_codes.ENTRIES
+    distance = " + ".join(f"(p.x{k} - c.x{k}) * (p.x{k} - c.x{k})" for k in _PLACES)
+    return f"""{name} AS (SELECT r, part, any_value(p.x0) AS x0, any_value(p.x1) AS x1, any_value(p.x2) AS x2, any_value(p.x3) AS x3,
+  min(({distance}) * {n} + e) % {n} AS e, min(({distance}) * {n} + e) // {n} AS d FROM p JOIN {books} c USING (part) GROUP BY r, part)"""
+
+
+def _means_sql(name: str, before: str, assigned: str) -> str:
+    floors = ", ".join(f"(sum(x{k}) - ((sum(x{k}) % count(*)) + count(*)) % count(*)) // count(*) AS x{k}" for k in _PLACES)
+    return f"""{name} AS (SELECT part, e, {", ".join(f"CAST(coalesce(m.x{k}, b.x{k}) AS BIGINT) AS x{k}" for k in _PLACES)} FROM {before} b
+  LEFT JOIN (SELECT part, e, {floors} FROM {assigned} GROUP BY part, e) m USING (part, e))"""
+
+
+_CODES_SQL = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, label,
+  list_transform(embedding, lambda y: CAST(floor(CAST(y AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+p AS (SELECT r, part, {", ".join(f"x[part * 4 + {k + 1}] AS x{k}" for k in _PLACES)} FROM v, range({vector_codes.PARTS}) t(part)),
+b0 AS (SELECT p.* EXCLUDE (r), e FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM v
+  ORDER BY vec_id, x LIMIT {vector_codes.ENTRIES}) USING (r)),
+{_assigned_sql("a0", "b0")}, {_means_sql("b1", "b0", "a0")}, {_assigned_sql("a1", "b1")}, {_means_sql("b2", "b1", "a1")},
+{_assigned_sql("a2", "b2")},
+codes AS (SELECT r, string_agg(lower(printf('%02x', CAST(e AS BIGINT))), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+books AS (SELECT sha256(string_agg({" || ',' || ".join(f"CAST(x{k} AS VARCHAR)" for k in _PLACES)}, ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN codes USING (r), books"""
+
+
+@query("op12_vector_codes", _CODES_SQL)
+def vector_codes_query(spark: SparkSession, d: str) -> DataFrame:
+    rows, books = vector_codes.compress(read(spark, d, "embeddings"))
+    rows = rows.select("carry.vec_id", "carry.label", F.lower(F.hex("code")).alias("code"), "error")
+    rows = stored(rows, "coded")
+    sums = rows.groupBy(F.col("label").alias("of_label")).agg(F.sum("error").alias("label_error"))
+    return rows.join(sums, F.col("label").eqNullSafe(F.col("of_label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
