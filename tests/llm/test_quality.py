@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import math
 import re
+import time
 
 import regex
 import xxhash
@@ -83,3 +84,33 @@ def test_all_trusted_documents_count(spark):
     docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('w', id % 5000) AS text")
     trusted = docs.select("doc_id")
     assert set(quality.fit_ratio(docs, trusted).split(",")) == {"0"}
+
+
+def test_filters_on_every_output_column(docs):
+    """A filter on a count or the verdict must not multiply the expressions behind it."""
+    rows = quality.assess(docs, ",".join(["1"] * quality.BUCKETS))
+    conditions = ["n_words > 9", "word_chars > 9", "n_symbols = 0", "n_dup_lines = 0", "n_repeat_words = 0"]
+    conditions += ["base_failed", "not base_failed and not kept", "kept", "score >= 0", "row.doc_id > 5", "row.text like '%a%'"]
+    whole = rows.select("row.doc_id", "row.text", "row", *rows.columns[1:]).drop("row").toPandas()
+    for condition in conditions:
+        start = time.perf_counter()
+        found = rows.where(condition).count()
+        assert time.perf_counter() - start < 20
+        plain = condition.replace("row.", "")
+        if "like" not in condition:
+            want = whole.query(plain.replace(" = ", " == "))
+            assert found == len(want)
+
+
+def test_trusted_ids_beyond_the_filter(spark, monkeypatch):
+    """Filters of all densities, and too many strays, give the counts of an exact join."""
+    docs = spark.range(4_000).selectExpr("if(id % 40 = 0, null, id) AS doc_id", "concat('w', id % 97, ' x', id % 11) AS text")
+    trusted = spark.range(9_000).selectExpr("id * 3 AS doc_id").unionByName(spark.sql("SELECT CAST(null AS BIGINT) AS doc_id"))
+    ones = trusted.where("doc_id is not null").selectExpr("doc_id AS id", "1 AS target")
+    rows = docs.selectExpr("doc_id AS id", "text").join(ones, "id", "left").na.fill(0, ["target"])
+    want = sorted(map(tuple, quality._gram_counts(rows, 256).collect()))
+    for bits, strays in ((64, 100), (16, 2_000), (1, 4_000), (1, 5)):
+        monkeypatch.setattr(quality, "FILTER_BITS", bits)
+        monkeypatch.setattr(quality, "STRAYS", strays)
+        got = quality.trusted_counts(docs, trusted, "doc_id", "text", 256)
+        assert sorted(map(tuple, got.select("bucket", "raw", "target").collect())) == want

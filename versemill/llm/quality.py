@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versemill.llm.common import exploded, passing, words_of
+from versemill.llm.common import exploded, passing, stored, words_of
 
 BUCKETS = 1 << 16
 # A text is dropped if its mean log ratio is below this many thousandths of a nat.
@@ -38,6 +38,60 @@ def pair_buckets(single: Column, buckets: int = BUCKETS) -> Column:
     )
 
 
+# Bits a trusted id takes in the filter, bits it sets there, and the most 64-bit words a filter has (sent to every task).
+FILTER_BITS, FILTER_HASHES, FILTER_WORDS = 16, 4, 1 << 20
+# Ids that pass the filter wrongly are sent to every task up to this number, and joined beyond it.
+STRAYS = 1 << 20
+
+
+def _filter_place(id_: Column, words: int) -> tuple[Column, Column]:
+    """The word of an id in the filter, and the bits it sets there."""
+    spread = F.xxhash64(id_, F.lit(1))
+    bits = (F.shiftrightunsigned(spread, 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(FILTER_HASHES))
+    mask = F.lit(0).cast("bigint")
+    for bit in bits:
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    return F.pmod(F.xxhash64(id_), F.lit(words)).cast("int"), mask
+
+
+def _gram_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, raw, target): grams of all rows (target, text), and of those whose target is 1."""
+    singles = rows.select("target", gram_buckets(F.col("text"), buckets).alias("single"))
+    both = singles.select("target", F.concat("single", pair_buckets(F.col("single"), buckets)).alias("all"))
+    grams = exploded(both, "all", "bucket", "target")
+    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").cast("bigint").alias("target"))
+
+
+def trusted_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """(bucket, raw, target): grams of all documents and of those whose id is trusted. No text is shuffled.
+
+    A filter of the trusted ids marks documents while all are counted; it lets some others
+    through. Those are found on ids alone, counted apart and taken off again, so the result
+    is exact. Only where they are too many to be sent to every task are the texts joined.
+    """
+    ids = trusted.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
+    words = 1
+    while words < min(FILTER_WORDS, -(-ids.count() * FILTER_BITS // 64)):
+        words *= 2
+    word, mask = _filter_place(F.col("id"), words)
+    table = ids.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    passes = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)) & F.col("id").isNotNull()
+    marked = rows.withColumns({"word": word, "mask": mask}).join(F.broadcast(table), "word", "left")
+    marked = marked.select("id", "text", passes.cast("int").alias("target"))
+    counts = _gram_counts(marked, buckets)
+    strays = stored(marked.where("target = 1").select("id").distinct().join(ids, "id", "left_anti"), "strays")
+    n = strays.count()
+    if n > STRAYS:
+        ones = ids.withColumn("target", F.lit(1))
+        return _gram_counts(rows.join(ones, "id", "left").na.fill(0, ["target"]), buckets)
+    if n:
+        wrong = rows.join(F.broadcast(strays), "id", "left_semi").select(F.lit(1).alias("target"), "text")
+        wrong = _gram_counts(wrong, buckets).select("bucket", F.lit(0).alias("raw"), (-F.col("target")).alias("target"))
+        counts = counts.unionByName(wrong).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return counts
+
+
 def fit_ratio(
     docs: DataFrame,
     trusted: DataFrame,
@@ -48,23 +102,10 @@ def fit_ratio(
 ) -> str:
     """Comma-joined weights of all buckets: log P(bucket | trusted) - log P(bucket | corpus), in thousandths.
 
-    ``trusted`` names documents by id; all of them count, and adaptive execution chooses
-    how they are joined. The corpus side counts every gram of every document. The result
-    has one number per bucket.
+    ``trusted`` names documents by id; all of them count. The corpus side counts every
+    gram of every document. The result has one number per bucket.
     """
-    ids = (
-        trusted.select(F.col(id_col).cast("bigint").alias("id"))
-        .where("id is not null")
-        .distinct()
-        .select("id", F.lit(1).alias("in_target"))
-    )
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(ids, "id", "left").select(
-        F.coalesce("in_target", F.lit(0)).alias("target"), gram_buckets(F.col("text"), buckets).alias("single")
-    )
-    both = rows.select("target", F.concat("single", pair_buckets(F.col("single"), buckets)).alias("all"))
-    grams = exploded(both, "all", "bucket", "target")
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
+    counts = trusted_counts(docs, trusted, id_col, text_col, buckets)
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     packed = full.agg(
@@ -140,7 +181,8 @@ def assess(
     A text fails the fixed rules with fewer than ten words (null and empty texts have
     none) or if over a fifth of its words lie in repeated five-word windows; otherwise
     it is kept unless its score is below the threshold. ``score`` is in thousandths of
-    a nat per gram, zero for a text without grams. Nothing is shuffled.
+    a nat per gram, zero for a text without grams. Nothing is shuffled. The result may be
+    filtered: no filter on the counts or the verdict moves into their expressions.
     """
     first = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     first = first.withColumn("words", words_of(F.col("text")))
@@ -163,14 +205,15 @@ def assess(
         "row", *counts, "n_repeat_words", F.size("all").cast("bigint").alias("n_grams"), total.alias("total")
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return scored.select(
-        "row",
+    judged = F.struct(
         *counts,
         "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (F.col("total") >= threshold * F.col("n_grams"))).alias("kept"),
         F.when(F.col("n_grams") > 0, F.col("total") / F.col("n_grams")).otherwise(0.0).alias("score"),
     )
+    # A generated row is where pushing of filters ends.
+    return scored.select("row", F.explode_outer(F.array(judged)).alias("judged")).select("row", "judged.*")
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
