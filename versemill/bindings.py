@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versemill.functions.text import LETTERS, MARKED, UNMARKED, letter_words
+
 # 2024-01-01T00:00:00Z in microseconds, event microseconds per song millisecond.
 EPOCH_US = 1_704_067_200_000_000
 US_PER_MS = 100_000_000
@@ -166,6 +168,11 @@ ASSETS2 = """assets2 AS (SELECT url, page_id,
   CAST(length(html) AS BIGINT) AS size FROM pages WHERE page_id % 7 <> 0)"""
 
 
+def words_sql(text: str) -> str:
+    """SQL list of the words that ``letter_words`` finds."""
+    return f"regexp_extract_all(translate(lower({text}), '{MARKED}', '{UNMARKED}'), '{LETTERS}')"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -176,8 +183,8 @@ LATIN_KANA = "アバシダエァガーイジカラマンオパッリストウゥ
 
 
 def kana_words(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct lower-case Latin words of all documents with a kana spelling."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]+"), 0))
+    """Distinct words of all documents, without marks, with a kana spelling."""
+    word = F.explode(letter_words(F.col("text")))
     return (
         table(spark, d, "documents")
         .select(word.alias("word"))
@@ -187,4 +194,4 @@ def kana_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 KANA_WORDS = f"""kw AS (SELECT word, translate(word, '{LATIN}', '{LATIN_KANA}') AS kana FROM (
-  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents))"""
+  SELECT DISTINCT unnest({words_sql("text")}) AS word FROM documents))"""

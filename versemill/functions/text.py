@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,22 @@ from pyspark.sql import functions as F
 MISSING = ("", "na", "n/a", "nan", "none", "null")
 NAME_CHARS = 40
 ARTIST_CHARS = 40
+# A word is a run of letters; Latin letters with marks are read as the letter below the mark.
+LETTERS = r"\p{L}+"
+_WITHOUT_MARK = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xE0, 0x180)) if c.islower()}
+_WITHOUT_MARK = {c: x for c, x in _WITHOUT_MARK.items() if "a" <= x <= "z"}
+# Latin letters that are no letter and mark, and what they are read as.
+_WITHOUT_MARK |= {"ß": "s", "æ": "a", "œ": "o", "ø": "o", "đ": "d", "ħ": "h", "ı": "i", "ł": "l", "ŧ": "t"}
+MARKED, UNMARKED = "".join(_WITHOUT_MARK), "".join(_WITHOUT_MARK.values())
+# The named character references of HTML that credits use, "&amp;" last.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def letter_words(c: Column) -> Column:
+    """All words of a text in order, in lower case and without marks."""
+    return F.regexp_extract_all(F.translate(F.lower(c), MARKED, UNMARKED), F.lit(LETTERS), F.lit(0))
+
+
 def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin(*MISSING)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from versemill import bindings as B
 from versemill.functions import kana as K
+from versemill.functions.text import letter_words
 from versemill.operators import mapping as M
 from versemill.operators import timejoin as TJ
 from versemill.plans.ordered import by_width, materialize
@@ -279,14 +280,14 @@ def j21(spark, d):
 
 @query(
     "j22_reading_dictionary",
-    f"""WITH t AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)),
- dict AS (SELECT DISTINCT w, translate(w, '{B.LATIN}', '{B.LATIN_KANA}') AS r FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark))
+    f"""WITH t AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, {B.words_sql("text")} AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)),
+ dict AS (SELECT DISTINCT w, translate(w, '{B.LATIN}', '{B.LATIN_KANA}') AS r FROM (SELECT unnest({B.words_sql("text")}) AS w FROM benchmark))
 SELECT doc_id, md5(string_agg(CASE WHEN length(t.w) >= 12 THEN upper(t.w) ELSE coalesce(r, t.w) END, '' ORDER BY i)) AS reading, count(r) AS n_known FROM t LEFT JOIN dict USING (w) GROUP BY 1""",
 )
 def j22(spark, d):
     from versemill.operators.soundalike import text_words
 
-    tokens = B.documents(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "w"))
+    tokens = B.documents(spark, d).select("doc_id", F.posexplode(letter_words(F.col("text"))).alias("pos", "w"))
     tokens = tokens.withColumn("forced", F.when(F.length("w") >= 12, F.upper("w")))
     words = text_words(B.table(spark, d, "benchmark").select("text"), "text").distinct()
     readings = words.select(F.col("word").alias("w"), F.translate("word", B.LATIN, B.LATIN_KANA).alias("reading"))

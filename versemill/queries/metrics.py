@@ -197,7 +197,7 @@ def a20(spark, d):
 
 @query(
     "a13_variant_volume",
-    """WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT source, CAST(length(w) AS BIGINT) AS n_units, count(*) AS n_variants FROM w GROUP BY 1, 2""",
+    f"""WITH w AS (SELECT source, unnest({B.words_sql("text")}) AS w FROM documents) SELECT source, CAST(length(w) AS BIGINT) AS n_units, count(*) AS n_variants FROM w GROUP BY 1, 2""",
 )
 def a13(spark, d):
     from versemill.operators.soundalike import text_words
@@ -366,7 +366,7 @@ def u3(spark, d):
     return B.table(spark, d, "documents").select("doc_id").join(B.table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-@query("u4_intersection", "SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) INTERSECT SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark")
+@query("u4_intersection", f"SELECT word FROM (SELECT unnest({B.words_sql("text")}) AS word FROM documents) INTERSECT SELECT unnest({B.words_sql("text")}) FROM benchmark")
 def u4(spark, d):
     from versemill.operators.soundalike import text_words
 

@@ -47,7 +47,7 @@ _ALIAS = "CASE w " + " ".join(f"WHEN '{a}' THEN '{n}'" for n, al in W.COLUMN_ALI
 
 @query(
     "s3_header_canonicalisation",
-    f"""WITH w AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)),
+    f"""WITH w AS (SELECT doc_id, w FROM (SELECT doc_id, unnest({B.words_sql("text")}) AS w FROM documents)),
  c AS (SELECT doc_id, w, {_ALIAS} AS name, count(*) AS n FROM w GROUP BY 1, 2, 3)
 SELECT name, CAST(sum(n) AS BIGINT) AS n_cells, bool_or(name IN ('id', 'original', 'surface', 'pronunciation')) AS is_base FROM c GROUP BY name""",
 )

@@ -36,7 +36,7 @@ def v2(spark, d):
 
 @query(
     "v3_header_columns",
-    """WITH h AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents),
+    f"""WITH h AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, {B.words_sql("text")} AS ws FROM documents),
    unnest(range(1, len(ws) + 1)) AS u(i)), n AS (SELECT doc_id, w, count(*) AS c FROM h GROUP BY 1, 2)
 SELECT doc_id, CAST(count(*) FILTER (w NOT IN ('image', 'and', 'the')) AS BIGINT) AS n_kept, CAST(sum(c - 1) AS BIGINT) AS n_duplicates,
   coalesce(string_agg(w, ',' ORDER BY w) FILTER (w IN ('image', 'and', 'the')), '') AS dropped FROM n GROUP BY doc_id""",
@@ -44,7 +44,7 @@ SELECT doc_id, CAST(count(*) FILTER (w NOT IN ('image', 'and', 'the')) AS BIGINT
 def v3(spark, d):
     cells = B.documents(spark, d).select(
         "doc_id",
-        F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "name"),
+        F.posexplode(T.letter_words(F.col("text"))).alias("pos", "name"),
     )
     return V.resolve_header(cells, "doc_id", "pos", "name", forbidden=("image", "and", "the"))
 
