@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from versemill import bindings as B
 from versemill.operators import metrics as A
-from versemill.queries.registry import query
+from versemill.queries.registry import ORACLE, query
 from versemill.streaming import jobs as J
 from versemill.streaming import requests as R
+from versemill.streaming import stateful as S
 
 ORDER = ["start_ms", "note_id"]
 LIMIT, WINDOW = 4, 1_500
+# Hours of jobs may lie before their origin; whole slices more keep them positive.
+SHIFT_H = 240 * 1_000
 
 _T1 = B.with_(B.NOTES).replace("WITH", "WITH RECURSIVE", 1) + """, h AS (SELECT {key} AS k, note_id, start_ms, row_number() OVER (PARTITION BY {key} ORDER BY start_ms, note_id) AS rn FROM notes),
  f{n} AS (SELECT k, rn, note_id, [start_ms] AS st, true AS allowed FROM h WHERE rn = 1 UNION ALL
@@ -52,6 +55,37 @@ def t2(spark, d):
     return R.dual_admission(n, "note_id", a, b).select("note_id", "session_ok", "client_ok", "allowed")
 
 
+# The slice of time a stream waits for; hits of slices that the newest hit has not closed are undecided.
+_CLOSED = f"start_ms // {WINDOW} < (SELECT max(start_ms) FROM notes) // {WINDOW}"
+
+
+def _hits(spark, d):
+    events = J.read_event_stream(spark, d, "events")
+    start = F.expr(f"(unix_micros(cast(ts as timestamp)) - {B.EPOCH_US}) div {B.US_PER_MS}")
+    return events.select(
+        F.col("user_id").alias("song_id"), (F.col("user_id") % 20).alias("client"), F.col("event_id").alias("id"), start.alias("at"),
+        F.col("user_id").alias("owner"), F.lit(False).alias("exempt"),
+    )
+
+
+@query("t1_rate_limiter_ordered", _t1("song_id") + f"SELECT note_id, allowed FROM f JOIN notes USING (note_id) WHERE {_CLOSED}")
+def t1_ordered(spark, d):
+    """The limiter with its rows put in order by state and timers."""
+    out = J.drain(S.in_order(_hits(spark, d), "song_id", S.at_most(LIMIT), WINDOW, WINDOW), "append")
+    return out.select(F.col("id").alias("note_id"), (F.col("verdict") == "accepted").alias("allowed"))
+
+
+@query(
+    "t2_dual_key_admission_stream",
+    _t1("song_id") + ", h2 AS" + _CLIENT + f"""SELECT f.note_id, f.allowed AS session_ok, f2.allowed AS client_ok, f.allowed AND f2.allowed AS allowed
+FROM f JOIN f2 ON f.note_id = f2.note_id JOIN notes ON notes.note_id = f.note_id WHERE {_CLOSED}""",
+)
+def t2_stream(spark, d):
+    """Both limiters in one stream; a stream-stream join brings their verdicts together."""
+    out = S.dual_admission_stream(_hits(spark, d), ("song_id", "client"), (LIMIT, 30), WINDOW, WINDOW)
+    return J.drain(out, "append").select(F.col("id").alias("note_id"), F.col("first_ok").alias("session_ok"), F.col("second_ok").alias("client_ok"), "allowed")
+
+
 _KEEP = "list_filter(q.st, lambda x: x.t > h.created_h - 240)"
 _VERDICT = f"""CASE WHEN h.ex THEN 'exempt' WHEN len(list_filter({_KEEP}, lambda x: x.o = h.owner)) >= 2 THEN 'owner quota' WHEN len({_KEEP}) >= 40 THEN 'client quota' ELSE 'accepted' END"""
 
@@ -69,6 +103,20 @@ def t3(spark, d):
     return out.select("job_id", "verdict")
 
 
+@query("t3_quota_admission_stream", ORACLE["t3_quota_admission"].replace(
+    "SELECT job_id, verdict FROM q", "SELECT job_id, verdict FROM q JOIN jobs USING (job_id) WHERE created_h // 240 < (SELECT max(created_h) FROM jobs) // 240"))
+def t3_stream(spark, d):
+    """Quotas of owners within clients, decided slice by slice as the watermark passes."""
+    o = J.read_event_stream(spark, d, "orders")
+    at = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    rows = o.select(
+        (F.col("o_custkey") % 20).alias("client"), F.col("o_orderkey").alias("id"), (at + SHIFT_H).alias("at"),
+        F.col("o_custkey").alias("owner"), (F.col("o_orderpriority") == "1-URGENT").alias("exempt"),
+    )
+    out = J.drain(S.in_order(rows, "client", S.quotas(2, 40), 240, 240), "append")
+    return out.select(F.col("id").alias("job_id"), "verdict")
+
+
 _STATE = """s AS (SELECT job, CASE WHEN st IN ('view', 'click') THEN 'error' ELSE st END AS status FROM (SELECT user_id AS job, arg_max(event_type, event_id) AS st FROM events GROUP BY 1))"""
 
 
@@ -99,6 +147,17 @@ def t5(spark, d):
     return s.select("user_id", F.unix_micros("opened").alias("opened_us"), F.unix_micros("expires").alias("expires_us"), "n_events")
 
 
+@query(
+    "t5_expired_sessions_stream",
+    ORACLE["t5_idle_sessions"].replace("SELECT user_id, min(t)", "SELECT * FROM (SELECT user_id, min(t)")
+    + """) WHERE (expires_us + 999) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events)""",
+)
+def t5_stream(spark, d):
+    """Sessions whose timer the watermark has passed."""
+    e = J.read_event_stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return J.drain(S.expired_sessions(e, "user_id", "ts", 7_200_000_000), "append").withColumnRenamed("key", "user_id")
+
+
 @query(
     "t6_stage_progress",
     """WITH f AS (SELECT user_id, round(avg(value), 4) AS factor FROM events WHERE event_type = 'signup' GROUP BY 1)
@@ -122,6 +181,15 @@ def t7(spark, d):
     return out.select("user_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("t7_log_tail_stream", ORACLE["t7_log_tail"])
+def t7_stream(spark, d):
+    """The same from the slots a stream keeps; ranks within a key's slots."""
+    e = J.read_event_stream(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    slots = J.drain(S.log_tail_stream(e, "user_id", "ts", "event_id", 20), "update", ["key", "slot"])
+    out = J.log_tail(slots, "key", [F.col("at_us").desc(), F.col("id").desc()], 20)
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), F.col("rank").cast("bigint").alias("rank"))
+
+
 _T8 = "SELECT epoch_us(ts) // 3600000000 * 3600000000 AS window_us, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
 
