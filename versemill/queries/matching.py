@@ -100,8 +100,10 @@ def j12_owner(spark, d):
 
 @query("j14_mora_placement")
 def j14(spark, d):
+    """The first word of a name on the notes of all others, or the other way round if it is longer."""
     names = F.split(F.translate("p_name", B.LATIN, B.LATIN_KANA), " ")
-    a, b = K.split_moras(F.element_at(names, 1)), K.split_moras(F.element_at(names, -1))
+    a = K.split_moras(F.element_at(names, 1))
+    b = F.flatten(F.transform(F.slice(names, F.lit(2), F.size(names)), K.split_moras))
     swap = F.size(a) > F.size(b)
     p = B.table(spark, d, "part").select("p_partkey", F.when(swap, b).otherwise(a).alias("moras"), F.when(swap, a).otherwise(b).alias("notes"))
     out = PL.place_moras(p, "moras", "notes")
