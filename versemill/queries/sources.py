@@ -6,40 +6,50 @@ from pyspark.sql import functions as F
 
 from versemill import bindings as B
 from versemill.operators.soundalike import text_words
+from versemill.plans.ordered import materialize
 from versemill.queries.registry import query
+from versemill.session import shared_path
 from versemill.sources import documents as D
 from versemill.sources import wordlists as W
 
 
 @query(
     "s1_wordlist_scan",
-    """SELECT p_type AS list, CAST(p_partkey AS VARCHAR) AS id, p_brand AS original, p_name AS surface,
-  CAST(p_size AS VARCHAR) AS extra_size, CAST(count(*) OVER (PARTITION BY p_type, p_partkey) AS BIGINT) AS n_rows FROM part""",
+    """SELECT p_type AS list, CAST(p_partkey AS VARCHAR) AS id, p_brand AS original, p_name || chr(10) || 'a "b", c' AS surface,
+  CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS extra_size, CASE WHEN p_size % 2 = 1 THEN p_brand END AS extra_brand,
+  CAST(count(*) OVER (PARTITION BY p_type, p_partkey) AS BIGINT) AS n_rows FROM part""",
 )
 def s1(spark, d):
-    rows = B.wordlist(spark, d).select(
-        "list", F.col("id").cast("string").alias("No"), F.col("original").alias("原語"), F.col("surface").alias(" Word "), "size"
-    )
-    w = W.fold_extras(W.canonical_columns(rows), ["list", *W.BASE_COLUMNS])
+    """Word lists of two schemas, written as CSV folders and read back, each file by its own header."""
+    rows = B.wordlist(spark, d).withColumn("surface", F.concat("surface", F.lit('\na "b", c')))
+    folder = shared_path(spark, "wordlists")
+    even = rows.where("size % 2 = 0").select("list", F.col("id").alias("No"), F.col("original").alias("原語"), F.col("surface").alias(" Word "), "size")
+    odd = rows.where("size % 2 = 1").select("list", F.col("original").alias("brand"), F.col("surface").alias("表記"), "original", "id", F.lit("x").alias("ID"))
+    W.write_wordlists(even, f"{folder}/even")
+    W.write_wordlists(odd, f"{folder}/odd")
+    w = materialize(W.scan_wordlists(spark, folder))
     groups = W.ids_with_surfaces(w)
-    return w.join(groups, ["list", "id"]).select(
-        "list", "id", "original", "surface", F.col("extras")["size"].alias("extra_size"), "n_rows"
-    )
+    extra = lambda c: F.try_element_at("extras", F.lit(c)).alias(f"extra_{c}")
+    return w.join(groups, ["list", "id"]).select("list", "id", "original", "surface", extra("size"), extra("brand"), "n_rows")
 
 
 @query(
     "s2_plain_list_scan",
-    r"""WITH l AS (SELECT doc_id, i AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(replace(text, '. ', '#'), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
- c AS (SELECT doc_id, line_no, list_transform(string_split(split_part(line, '#', 1), ','), lambda x: trim(x)) AS cells FROM l),
- k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS id FROM c WHERE cells[1] <> ''),
- r AS (SELECT doc_id, id, cells[1] AS surface, CASE WHEN len(list_filter(cells[2:], lambda x: x <> '')) > 0 THEN list_filter(cells[2:], lambda x: x <> '') ELSE [''] END AS rs FROM k)
-SELECT doc_id, id, surface, CAST(i - 1 AS BIGINT) AS variant, rs[i] AS reading FROM r, unnest(range(1, len(rs) + 1)) AS u(i)""",
+    r"""WITH l AS (SELECT doc_id % 64 AS list, doc_id, i AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(replace(text, '. ', '#'), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
+ c AS (SELECT list, doc_id, line_no, list_transform(string_split(split_part(line, '#', 1), ','), lambda x: trim(x)) AS cells FROM l),
+ k AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY doc_id, line_no) AS id FROM c WHERE cells[1] <> ''),
+ r AS (SELECT list, id, cells[1] AS surface, CASE WHEN len(list_filter(cells[2:], lambda x: x <> '')) > 0 THEN list_filter(cells[2:], lambda x: x <> '') ELSE [''] END AS rs FROM k)
+SELECT CAST(list AS VARCHAR) AS list, id, surface, CAST(i - 1 AS BIGINT) AS variant, rs[i] AS reading FROM r, unnest(range(1, len(rs) + 1)) AS u(i)""",
 )
 def s2(spark, d):
+    """Plain lists of all document lines, written as text files and read back in order."""
     lines = B.documents(spark, d).select(
-        "doc_id", F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit("#")), "\n")).alias("line_no", "text")
+        (F.col("doc_id") % 64).alias("list"), "doc_id",
+        F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit("#")), "\n")).alias("line_no", "text"),
     )
-    return W.parse_plain(lines, "doc_id", "line_no", "text").withColumn("variant", F.col("variant").cast("bigint"))
+    folder = shared_path(spark, "plain")
+    W.write_plain(lines, folder, "list", ["doc_id", "line_no"], "text")
+    return W.scan_plain(spark, folder).withColumn("variant", F.col("variant").cast("bigint"))
 
 
 _ALIAS = "CASE w " + " ".join(f"WHEN '{a}' THEN '{n}'" for n, al in W.COLUMN_ALIASES.items() for a in al) + " ELSE w END"

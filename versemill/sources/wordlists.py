@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versemill.plans.ordered import row_number, scan
+from versemill.plans.ordered import materialize, row_number, running_sum, scan
 
 BASE_COLUMNS = ("id", "original", "surface", "pronunciation")
 # Other spellings of the base columns.
@@ -55,12 +55,77 @@ def fold_extras(df: DataFrame, base: Sequence[str], name: str = "extras") -> Dat
     return df.select(*[c for c in base if c in df.columns], values.alias(name))
 
 
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, block, row, text): the lines of all files below a folder, in order of (block, row) within a file.
+
+    Large files are read in blocks by several tasks, by whatever store Spark reads.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(folder)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return lines.select(*place, F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
+
+
+def list_name(file: Column) -> Column:
+    """The name of a list: that of its ``list=`` folder, else its file's name without extension."""
+    folder = F.regexp_extract(file, "/list=([^/]*)/[^/]*$", 1)
+    stem = F.regexp_extract(file, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    # A folder's name was escaped by its writer, and the path once more.
+    return F.when(folder != "", F.try_url_decode(F.try_url_decode(folder))).otherwise(F.try_url_decode(stem))
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """(file, record, text): lines joined where a quoted cell spans several; a record starts outside quotes.
+
+    Whether a line starts inside quotes follows from the number of quotes before it in its
+    file, a running sum over blocks.
+    """
+    quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    order = ["block", "row"]
+    counted = scan(lines.withColumn("quotes", quotes), ["file"], order, F.col("block"), before=running_sum("quotes", inclusive=False))
+    starts = (F.coalesce("before", F.lit(0)) % 2 == 0).cast("bigint")
+    # The two scans read lines whose row numbers come from the reader, so they are written between.
+    numbered = scan(counted.withColumn("starts", starts), ["file"], order, F.col("block"), cut=True, record=running_sum("starts"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "row", "text")))
+    joined = numbered.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+    return joined.where(F.trim("text") != "")
+
+
 def scan_wordlists(spark: SparkSession, folder: str) -> DataFrame:
-    """Tidy CSV files of one schema group: list (file stem), base columns, extras map."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(folder)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    named = raw.select(F.try_url_decode(stem).alias("list"), *[F.col(f"`{c}`") for c in raw.columns])
-    return fold_extras(canonical_columns(named), ["list", *BASE_COLUMNS])
+    """Tidy CSV files below a folder, each with its own header: list, base columns, extras map.
+
+    Files may differ in columns and their order. The first column of a name wins; cells
+    beyond the header are left out and missing ones are null. Empty cells are null. A
+    file without data rows gives none.
+    """
+    records = materialize(csv_records(materialize(read_lines(spark, folder))))
+    heads = records.groupBy("file").agg(F.min("record").alias("first"))
+    heads = records.join(heads, "file").where(F.col("record") == F.col("first")).select("file", "first", F.col("text").alias("head"))
+    commas = F.length("head") - F.length(F.replace("head", F.lit(","), F.lit("")))
+    width = heads.agg(F.max(commas)).first()[0]
+    schema = ", ".join(f"c{i} STRING" for i in range((width or 0) + 1))
+
+    def cells(text: str) -> Column:
+        row = F.from_csv(F.col(text), schema, {"escape": '"'})
+        return F.array(*(row[f"c{i}"] for i in range((width or 0) + 1)))
+
+    names = F.filter(F.transform(cells("head"), canonical_name), lambda c: c.isNotNull())
+    heads = heads.select("file", "first", names.alias("names"))
+    rows = records.join(heads, "file").where(F.col("record") > F.col("first"))
+    rows = rows.select("file", "names", F.slice(cells("text"), F.lit(1), F.size("names")).alias("cells"))
+    # Of equal names the first is put last, where it wins.
+    cell = F.map_from_arrays(F.reverse("names"), F.reverse("cells"))
+    rows = rows.select(list_name(F.col("file")).alias("list"), cell.alias("cell"))
+    extras = F.map_filter("cell", lambda k, _: ~k.isin(*BASE_COLUMNS))
+    return rows.select("list", *(F.try_element_at("cell", F.lit(c)).alias(c) for c in BASE_COLUMNS), extras.alias("extras"))
+
+
+def write_wordlists(rows: DataFrame, folder: str, list_: str = "list") -> None:
+    """Tidy CSV files with a header below ``folder``, one ``list=`` folder for each list.
+
+    Rows are sorted by list, so a task keeps one file open; the commit shows all files at once.
+    """
+    named = rows.withColumnRenamed(list_, "list").repartition("list").sortWithinPartitions("list")
+    named.write.partitionBy("list").option("header", True).option("escape", '"').csv(folder)
 
 
 def ids_with_surfaces(rows: DataFrame) -> DataFrame:
@@ -93,11 +158,17 @@ def parse_plain(lines: DataFrame, list_: str, line_no: str, text: str, slice_row
 
 
 def scan_plain(spark: SparkSession, folder: str) -> DataFrame:
-    """Plain list files. A file is one upload of bounded size, read whole to keep its line order."""
-    files = spark.read.option("wholetext", True).text(folder)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    lines = files.select(stem.alias("list"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "text"))
-    return parse_plain(lines, "list", "line_no", "text")
+    """Plain list files below a folder, read line by line in any number of tasks."""
+    lines = materialize(read_lines(spark, folder))
+    numbered = scan(lines, ["file"], ["block", "row"], F.col("block"), line_no=row_number())
+    return parse_plain(materialize(numbered.select(list_name(F.col("file")).alias("list"), "line_no", "text")), "list", "line_no", "text")
+
+
+def write_plain(lines: DataFrame, folder: str, list_: str, order: Sequence[str], text: str) -> None:
+    """One text file for each list, its lines in order; line ends within a line become blanks."""
+    flat = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\r\n]+", " ").alias("value")
+    rows = lines.select(F.col(list_).alias("list"), *order, flat).repartition("list").sortWithinPartitions("list", *order)
+    rows.select("list", "value").write.partitionBy("list").text(folder)
 
 
 def decode_content(spark: SparkSession, files: DataFrame, content: str = "content") -> DataFrame:
