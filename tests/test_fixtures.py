@@ -151,6 +151,28 @@ def test_wordlist_files(spark, tmp_path):
     assert [(r.list, r.id, r.surface) for r in W.scan_plain(spark, str(plain)).orderBy("id").collect()] == [("pets", 1, "ネコ"), ("pets", 2, "イヌ")]
 
 
+def test_records_across_blocks(spark, tmp_path):
+    """Quoted cells over several lines and blocks, doubled quotes, files with headers of their own and of other order."""
+    rows = [(f"i{k}", "x\ny " * (k % 7), 'say "{}", ok'.format(k)) for k in range(400)]
+    text = lambda cells: ",".join('"' + c.replace('"', '""') + '"' for c in cells)
+    first = "\n".join(["id,original,note", *map(text, rows)])
+    second = "\n".join(["\ufeffnote , ID,Word,id", *(text((c, a, b, "no")) for a, b, c in rows)])
+    (tmp_path / "one.csv").write_text(first, encoding="utf-8")
+    (tmp_path / "two.csv").write_text(second, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert W.read_lines(spark, str(tmp_path)).select("file", "block").distinct().count() > 5
+        got = W.scan_wordlists(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    blank = lambda x: x or None
+    one = sorted((r.id, r.original, r.extras["note"]) for r in got if r.list == "one")
+    two = sorted((r.id, r.surface, r.extras["note"]) for r in got if r.list == "two")
+    want = sorted((a, b, c) for a, b, c in rows)
+    assert [(a, b or "", c) for a, b, c in one] == want and [(a, b or "", c) for a, b, c in two] == want
+
+
 def test_document_round_trip(spark, tmp_path):
     lines = spark.createDataFrame([(1, 0, "u", "a"), (1, 1, "a", "b"), (2, 0, "u", "c")], "song_id bigint, line_id bigint, role string, text string")
     docs = D.nest_lines(lines, "song_id", "line_id", F.col("line_id"), F.col("role"), F.col("text"))

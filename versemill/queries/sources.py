@@ -84,23 +84,25 @@ def s4(spark, d):
     return W.decode_content(spark, words.select("word", content.alias("content"))).select("word", "charset", "text")
 
 
-def _project_json(spark, d):
+def _projects(spark, d):
+    """Project documents of two versions, the newer with a field of its own, written as JSON and read back."""
     docs = D.nest_lines(B.turns(spark, d), "song_id", "line_id", F.col("line_id"), F.col("role"), F.col("text"))
-    version = F.when(F.col("song_id") % 10 == 0, 2).otherwise(1)
-    return docs.select(F.to_json(F.struct(version.alias("version"), "song_id", "part", "lines")).alias("doc"))
+    newer = F.col("song_id") % 10 == 0
+    docs = docs.withColumns({"version": F.when(newer, 2).otherwise(1), "layers": F.when(newer, F.array(F.lit("base")))})
+    folder = shared_path(spark, "projects")
+    D.write_documents(docs, folder)
+    return D.read_projects(spark, folder)
 
 
 @query("s5_project_scan", B.with_(B.TURNS) + "SELECT song_id, line_id, role, md5(text) AS text_md5 FROM turns WHERE song_id % 10 <> 0")
 def s5(spark, d):
-    docs = _project_json(spark, d).select(F.from_json("doc", D.PROJECT_SCHEMA).alias("p")).select("p.*")
-    supported, _ = D.split_versions(docs)
+    supported, _ = _projects(spark, d)
     return D.project_lines(supported).select("song_id", "line_id", "role", F.md5("text").alias("text_md5"))
 
 
 @query("s5_quarantined_projects", B.with_(B.TURNS) + "SELECT song_id, count(*) AS n_lines FROM turns WHERE song_id % 10 = 0 GROUP BY 1")
 def s5_quarantine(spark, d):
-    docs = _project_json(spark, d).select(F.from_json("doc", D.PROJECT_SCHEMA).alias("p")).select("p.*")
-    _, rejected = D.split_versions(docs)
+    _, rejected = _projects(spark, d)
     return rejected.groupBy("song_id").agg(F.sum(F.size("lines")).alias("n_lines"))
 
 
@@ -114,12 +116,13 @@ def s6(spark, d):
     lines = B.turns(spark, d).withColumn("words", words)
     docs = D.nest_lines(lines, "song_id", "line_id", F.col("line_id"), F.col("words"))
     n = F.size("lines") + F.when(F.col("song_id") % 6 == 0, 1).otherwise(0)
-    packed = docs.select(
-        F.to_json(
-            F.struct("song_id", "part", n.alias("n_lines"), F.lit("parts").alias("wordlist"), F.col("lines").alias("results"))
-        ).alias("doc")
+    old = F.col("song_id") % 2 == 0
+    named = docs.select(
+        "song_id", n.alias("n_lines"), F.lit("parts").alias("wordlist"), F.when(old, F.col("lines")).alias("lines"), F.when(~old, F.col("lines")).alias("results")
     )
-    return D.editor_words(packed.select(F.from_json("doc", D.EDITOR_SCHEMA).alias("e")).select("e.*"))
+    folder = shared_path(spark, "editors")
+    D.write_documents(named, folder)
+    return D.editor_words(D.read_editors(spark, folder))
 
 
 @query(
@@ -148,20 +151,23 @@ def s8(spark, d):
         .groupBy(F.floor(F.col("page_id") / 500).alias("shard"))
         .agg(F.map_from_entries(F.collect_list(F.struct("url", entry.alias("e")))).alias("assets"))
     )
-    doc = shards.select(F.to_json(F.struct("assets")).alias("doc"))
-    schema = "assets MAP<STRING, STRUCT<page_id: BIGINT, sha256: STRING, orphaned_at: STRING>>"
-    return D.manifest_entries(doc.select(F.from_json("doc", schema).alias("m")).select("m.*")).select("url", "page_id", "sha256")
+    folder = shared_path(spark, "manifests")
+    shards.select("assets").write.json(folder)
+    entry = "struct<page_id: bigint, sha256: string, orphaned_at: string>"
+    return D.manifest_entries(D.read_manifests(spark, folder, entry)).select("url", "page_id", "sha256")
 
 
 @query(
     "s9_nested_sink",
-    B.with_(B.TURNS) + """SELECT song_id, line_id // 1000 AS part, count(*) AS n_lines, md5(string_agg(line_id || ':' || role || ':' || text, chr(10) ORDER BY line_id)) AS body FROM turns GROUP BY 1, 2""",
+    B.with_(B.TURNS) + """SELECT song_id, count(*) AS n_lines, md5(string_agg(line_id || ':' || role || ':' || text, chr(10) ORDER BY line_id)) AS body FROM turns GROUP BY 1""",
 )
 def s9(spark, d):
     docs = D.nest_lines(B.turns(spark, d), "song_id", "line_id", F.col("line_id"), F.col("role"), F.col("text"))
+    folder = shared_path(spark, "documents")
+    D.write_documents(docs.withColumn("version", F.lit(D.SCHEMA_VERSION)), folder)
     flat = F.transform("lines", lambda x: F.concat_ws(":", x["line_id"].cast("string"), x["role"], x["text"]))
-    return docs.select(
-        "song_id", "part", F.size("lines").cast("bigint").alias("n_lines"), F.md5(F.array_join(flat, "\n")).alias("body")
+    return D.read_projects(spark, folder)[0].select(
+        "song_id", F.size("lines").cast("bigint").alias("n_lines"), F.md5(F.array_join(flat, "\n")).alias("body")
     )
 
 
@@ -173,23 +179,30 @@ def s10(spark, d):
     rows = B.wordlist(spark, d).select(
         "list", "id", "original", "surface", F.concat("surface", F.lit(", x\r\n")).alias("pronunciation"), "size"
     )
-    return D.tidy_lines(rows, W.BASE_COLUMNS).select("list", "id", "line")
+    folder = shared_path(spark, "tidy")
+    D.write_lines(D.tidy_lines(rows, W.BASE_COLUMNS), "line", folder, "list", order=["id"])
+    back = W.read_lines(spark, folder).select(W.list_name(F.col("file")).alias("list"), F.col("text").alias("line"))
+    return back.select("list", F.split("line", ",")[0].cast("bigint").alias("id"), "line")
 
 
 @query(
     "s11_srt_blocks",
     B.with_(B.NOTES) + """, n AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_ms, note_id) AS k FROM notes)
-SELECT note_id, k || chr(10) || printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) || ' --> '
-  || printf('%02d:%02d:%02d,%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) || chr(10) || channel || chr(10) AS block FROM n""",
+SELECT song_id, k AS number, k || chr(10) || printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) || ' --> '
+  || printf('%02d:%02d:%02d,%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) || chr(10) || channel AS block FROM n""",
 )
 def s11(spark, d):
     out = D.srt_blocks(B.notes(spark, d), ["song_id"], ["start_ms", "note_id"], B.song_slice(), "start_ms", "end_ms", "channel")
-    return out.select("note_id", "block")
+    folder = shared_path(spark, "subtitles")
+    D.write_lines(out, "block", folder, "song_id", order=["number"])
+    back = D.read_blocks(materialize(W.read_lines(spark, folder)))
+    song = F.regexp_extract("file", "/song_id=(-?[0-9]+)/", 1).cast("bigint")
+    return back.select(song.alias("song_id"), (F.col("number") + 1).alias("number"), "block")
 
 
 @query(
     "s12_credits_report",
-    """WITH u AS (SELECT regexp_extract(url, '^([^?#]*)', 1) AS img, page_id, left(url, 12) AS word, 'by ' || page_id % 7 AS credit FROM pages),
+    """WITH u AS (SELECT regexp_extract(url, '^([^?#]*)', 1) AS img, page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS word, 'by ' || page_id % 7 AS credit FROM pages),
  f AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY page_id) AS rn FROM u)
 SELECT img, word || chr(9) || img || chr(9) || credit || chr(9) || page_id AS line FROM f WHERE rn = 1""",
 )
@@ -197,11 +210,13 @@ def s12(spark, d):
     uses = B.table(spark, d, "pages").select(
         F.regexp_extract("url", "^([^?#]*)", 1).alias("img"),
         "page_id",
-        F.left("url", F.lit(12)).alias("word"),
+        F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("word"),
         F.concat(F.lit("by "), (F.col("page_id") % 7).cast("string")).alias("credit"),
         F.col("page_id").cast("string").alias("page"),
     )
-    return D.credit_rows(uses, "img", ["page_id"], "word", "credit", "page").select("img", "line")
+    folder = shared_path(spark, "credits")
+    D.write_lines(D.credit_rows(uses, "img", ["page_id"], "word", "credit", "page"), "line", folder)
+    return W.read_lines(spark, folder).select(F.split("text", "\t")[1].alias("img"), F.col("text").alias("line"))
 
 
 @query(

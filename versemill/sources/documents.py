@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versemill.functions import text as T
-from versemill.plans.ordered import first_row, row_number, scan
+from versemill.plans.ordered import first_row, row_number, running_sum, scan
 
 SCHEMA_VERSION = 1
 PROJECT_SCHEMA = """version INT, song_id BIGINT, part BIGINT,
   lines ARRAY<STRUCT<line_id: BIGINT, role: STRING, text: STRING>>"""
 EDITOR_SCHEMA = """song_id BIGINT, part BIGINT, n_lines BIGINT, wordlist STRING,
   results ARRAY<STRUCT<line_id: BIGINT, words: ARRAY<STRUCT<surface: STRING>>>>"""
-# Lines per document part: a long song is written as several parts of bounded size.
-PART_LINES = 1_000
 
 
 def ordered_array(order: Sequence[str], *fields: Column) -> Column:
@@ -25,10 +23,11 @@ def ordered_array(order: Sequence[str], *fields: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(row)), lambda x: x["v"])
 
 
-def nest_lines(lines: DataFrame, song: str, line: str, *fields: Column) -> DataFrame:
-    """One document part per song and block of lines, the lines in order."""
+def nest_lines(lines: DataFrame, song: str, line: str, *fields: Column, part_lines: int | None = None) -> DataFrame:
+    """One document per song, the lines in order; with ``part_lines`` one per song and block of so many line numbers."""
+    part = F.floor(F.col(line) / part_lines) if part_lines else F.lit(0)
     return (
-        lines.withColumn("part", F.floor(F.col(line) / PART_LINES).cast("bigint"))
+        lines.withColumn("part", part.cast("bigint"))
         .groupBy(song, "part")
         .agg(ordered_array([line], *fields).alias("lines"))
     )
@@ -39,12 +38,40 @@ def write_documents(docs: DataFrame, path: str, song: str = "song_id") -> None:
     docs.repartition(song).write.mode("overwrite").json(path)
 
 
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """(doc): all JSON documents below a folder as variants, whatever their fields."""
+    return spark.read.option("recursiveFileLookup", True).option("singleVariantColumn", "doc").json(path)
+
+
+def field(name: str, kind: str) -> Column:
+    """A field of a variant document, null where it is missing or of another kind."""
+    return F.try_variant_get("doc", f"$.{name}", kind)
+
+
 def read_projects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Supported documents and the quarantined ones of another version."""
-    docs = spark.read.schema(PROJECT_SCHEMA).json(path)
+    """Supported documents and the quarantined ones of another version, which may have other fields."""
+    lines = "array<struct<line_id: bigint, role: string, text: string>>"
+    docs = read_variants(spark, path).select(
+        field("version", "int").alias("version"), field("song_id", "bigint").alias("song_id"), field("part", "bigint").alias("part"),
+        F.coalesce(field("lines", lines), F.array().cast(lines)).alias("lines"),
+    )
     return split_versions(docs)
 
 
+def read_editors(spark: SparkSession, path: str) -> DataFrame:
+    """Editor documents; results lie in ``results`` or, in older ones, in ``lines``."""
+    results = "array<struct<line_id: bigint, words: array<struct<surface: string>>>>"
+    return read_variants(spark, path).select(
+        field("song_id", "bigint").alias("song_id"), field("n_lines", "bigint").alias("n_lines"),
+        F.coalesce(field("results", results), field("lines", results)).alias("results"),
+    )
+
+
+def read_manifests(spark: SparkSession, path: str, entry: str) -> DataFrame:
+    """Manifest documents: ``assets`` maps urls to entries of the given struct type."""
+    return read_variants(spark, path).select(field("assets", f"map<string, {entry}>").alias("assets"))
+
+
 def split_versions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.coalesce(F.col("version") == SCHEMA_VERSION, F.lit(False))
     return docs.where(ok), docs.where(~ok)
@@ -143,6 +170,23 @@ def catalogue_entries(catalogue: DataFrame, performer: str, styles: str, kinds:
     return flat.where(F.col("kind").isin(*kinds)).withColumn("kind_rank", rank)
 
 
-def write_lines(df: DataFrame, column: str, path: str, *partition: str) -> None:
-    """One text line per row, one folder per partition value."""
-    df.select(*partition, F.col(column).alias("value")).write.mode("overwrite").partitionBy(*partition).text(path)
+def write_lines(df: DataFrame, column: str, path: str, *partition: str, order: Sequence[str] = ()) -> None:
+    """One text line per row, one folder per partition value, lines in ``order`` within it.
+
+    Rows are sorted by folder first, so a task keeps one file open; the commit shows all
+    files at once.
+    """
+    rows = df.select(*dict.fromkeys([*partition, *order]), F.col(column).alias("value"))
+    if partition:
+        rows = rows.repartition(*partition).sortWithinPartitions(*partition, *order)
+    rows.select(*partition, "value").write.mode("overwrite").partitionBy(*partition).text(path)
+
+
+def read_blocks(lines: DataFrame) -> DataFrame:
+    """(file, number, block): runs of lines (file, block, row, text) between empty lines, in order."""
+    order = ["block", "row"]
+    ends = (F.col("text") == "").cast("bigint")
+    counted = scan(lines.withColumn("ends", ends), ["file"], order, F.col("block"), before=running_sum("ends", inclusive=False))
+    inside = counted.where("text <> ''").groupBy("file", F.coalesce("before", F.lit(0)).alias("number"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "row", "text")))
+    return inside.agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("block"))
