@@ -175,7 +175,7 @@ def a5(spark, d):
     """Moras: the song's notes stretched by 3 % and moved; the fit must find that map."""
     n = B.notes(spark, d)
     moras = n.where(F.col("channel") != "error").select("song_id", F.round(F.col("start_ms") * 1.03 + 700).cast("bigint").alias("onset"))
-    out = M.fit_global_map(moras, n, "song_id", "onset", "start_ms", "note_id")
+    out = M.fit_global_map(moras, n, "song_id", "onset", "start_ms")
     return out.select("song_id", "scale", F.round("offset", 3).alias("offset"), F.round("cost", 3).alias("cost"))
 
 

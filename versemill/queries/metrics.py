@@ -131,12 +131,12 @@ def a9(spark, d):
 
 @query(
     "a10_credits_by_image",
-    """SELECT img, page_id, word FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS img, page_id, left(html, 30) AS word, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]*)', 1) ORDER BY page_id) AS k FROM pages) WHERE k = 1""",
+    """SELECT img, page_id, word FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS img, page_id, html AS word, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]*)', 1) ORDER BY page_id) AS k FROM pages) WHERE k = 1""",
 )
 def a10(spark, d):
     from versemill.plans.ordered import first_row
 
-    p = B.table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("img"), "page_id", F.left("html", F.lit(30)).alias("word"))
+    p = B.table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("img"), "page_id", F.col("html").alias("word"))
     return first_row(p, ["img"], ["page_id"])
 
 
@@ -303,12 +303,11 @@ def a23(spark, d):
 
 @query(
     "a24_score_digest",
-    B.with_(B.TURNS) + """, t AS (SELECT song_id, string_agg(substr(text, 1, CAST(line_id % 4 * 5 AS BIGINT)), '' ORDER BY line_id) AS t, count(*) FILTER (role = 'user') AS n_sung FROM turns GROUP BY 1)
+    B.with_(B.TURNS) + """, t AS (SELECT song_id, string_agg(text, '' ORDER BY line_id) AS t, count(*) FILTER (role = 'user') AS n_sung FROM turns GROUP BY 1)
 SELECT song_id, CAST(length(t) AS BIGINT) AS n_chars, n_sung, CASE WHEN length(t) > 40 THEN left(t, 20) || '…' || right(t, 20) ELSE t END AS digest FROM t""",
 )
 def a24(spark, d):
-    t = B.turns(spark, d).withColumn("t", F.substring("text", F.lit(1), (F.col("line_id") % 4 * 5).cast("int")))
-    return A.score_digest(t, BY, ["line_id"], "t", F.col("role") == "user")
+    return A.score_digest(B.turns(spark, d), BY, ["line_id"], "text", F.col("role") == "user")
 
 
 _U = "u AS (SELECT note_id, 'note' AS kind, start_ms AS at FROM notes)"
