@@ -62,3 +62,13 @@ def test_toxic_documents(spark, sf, odd_wide, odd_rows, none):
     assert toxicity.score(none, machine).count() == 0
     assert toxicity.fit(docs, labels.limit(0), ~held_out()) is None
     assert {r.score for r in toxicity.score(odd_wide, None).collect()} == {0.0}
+
+
+def test_letters_of_all_planes(spark):
+    """Letters beyond the basic plane are letters; emoji there are none."""
+    rows = [(1, "\U00020000\U00020001\U00020002"), (2, "\U0001f600 \U0001f601"), (3, "\U0001e922\U0001e923")]
+    learn = [(i, "abc def ghi " * 5, "en") for i in range(10, 40)] + [(i, "\U00020000\U00020001 " * 9, "x") for i in range(40, 70)]
+    model = language_id.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"), F.lit(True))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(frame, model).collect()}
+    assert got[1] == "x" and got[2] == "und" and got[3] != "und"

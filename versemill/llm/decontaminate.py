@@ -15,6 +15,7 @@ cannot qualify and are not embedded.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -46,7 +47,7 @@ SPACE, END = 32, 0
 @cache
 def _fold() -> np.ndarray:
     """Code point to comparison symbol: lower case for letters and digits, else a space."""
-    table = np.full(0x110000 >> 4, SPACE, dtype=np.uint32)
+    table = np.full(sys.maxunicode + 1, SPACE, dtype=np.uint32)
     for i in range(len(table)):
         low = chr(i).lower()
         if chr(i).isalnum():
@@ -57,8 +58,7 @@ def _fold() -> np.ndarray:
 def _symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Comparison symbols of a text with runs of spaces made one, and the place of each in the text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    table = _fold()
-    out = np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], codes)
+    out = _fold()[codes]
     space = out == SPACE
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]

@@ -14,6 +14,7 @@ the tasks have at most 64 ** order entries per language.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -38,7 +39,7 @@ CHUNK = 1 << 20
 @cache
 def _classes() -> np.ndarray:
     """Code point to class: 0 for other than letters, a-z, then hashed classes of other letters."""
-    table = np.zeros(0x11000, dtype=np.uint8)
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
     for i in range(len(table)):
         c = chr(i)
         if c.isalpha():
@@ -52,7 +53,7 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     table = _classes()
     codes = [np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
     sizes = np.array([len(c) for c in codes])
-    flat = table[np.minimum(np.concatenate(codes), len(table) - 1)]
+    flat = table[np.concatenate(codes)]
     begins = np.zeros(len(flat), dtype=bool)
     begins[np.cumsum(np.append(0, sizes))[:-1]] = True
     keep = (flat != 0) | begins
