@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from versemill.functions import text as T
 from versemill.plans.ordered import first_row, row_number, scan, top_rows
@@ -111,6 +115,41 @@ def fingerprint(
     )
 
 
+def list_fingerprint(df: DataFrame, by: Sequence[str], order: Sequence[str], line: Column, hex_chars: int = 16) -> DataFrame:
+    """First hex digits of SHA-256 over all lines of a list, joined by line feeds in order, and their number.
+
+    The hash of a list is one chain, so a list's sorted lines stream through one task with
+    constant state; lists run side by side.
+    """
+    by = list(by)
+    schema = StructType(df.select(*by).schema.fields).add("fingerprint", StringType()).add("n_rows", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, n, done = None, None, 0, []
+        # Rows of a list come together and in order; a list may go on in the next batch.
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            lines = batch.column("__line").to_pylist()
+            low = 0
+            for k, group in groupby(keys):
+                size = sum(1 for _ in group)
+                if k != key:
+                    if state:
+                        done.append((*key, state.hexdigest()[:hex_chars], n))
+                    key, state, n = k, hashlib.sha256(), 0
+                text = "\n".join(lines[low : low + size])
+                state.update(("\n" + text if n else text).encode())
+                low, n = low + size, n + size
+        if state:
+            done.append((*key, state.hexdigest()[:hex_chars], n))
+        if done:
+            columns = zip(*done, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns], schema.names)
+
+    rows = df.select(*by, *(F.col(c) for c in order if c not in by), F.coalesce(line, F.lit("")).alias("__line"))
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def bind_assets(rows: DataFrame, assets: DataFrame, image: str, original: str) -> DataFrame:
     """Bind rows to uploaded files by explicit name, or by ``original`` equal to the stem.
 

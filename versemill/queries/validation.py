@@ -85,13 +85,12 @@ def v5(spark, d):
 
 @query(
     "v6_fingerprint",
-    W + f""", p AS (SELECT list, id // {B.SLICE_ROWS} AS s, count(*) AS n,
-   sha256(string_agg(id || ',' || original || ',' || surface, chr(10) ORDER BY id)) AS h FROM wordlist GROUP BY 1, 2)
-SELECT list, left(sha256(string_agg(h, chr(10) ORDER BY s)), 16) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_rows FROM p GROUP BY list""",
+    W + """SELECT list, left(sha256(string_agg(id || ',' || original || ',' || surface, chr(10) ORDER BY id)), 16) AS fingerprint,
+  count(*) AS n_rows FROM wordlist GROUP BY list""",
 )
 def v6(spark, d):
     line = F.concat_ws(",", F.col("id").cast("string"), "original", "surface")
-    return V.fingerprint(B.wordlist(spark, d), ["list"], ["id"], B.row_slice("id"), line)
+    return V.list_fingerprint(B.wordlist(spark, d), ["list"], ["id"], line)
 
 
 @query(
