@@ -49,6 +49,45 @@ def test_pairs_are_learned():
     assert odds[0] < -1 and odds[1] < -1 and odds[2] > 1
 
 
+def test_pairs_of_neutral_features_are_learned():
+    """Features 1 and 2 each stand in texts of label 1 as often as others; only together do they tell."""
+    rng = np.random.default_rng(3)
+    common = 1 / np.arange(1, 2_001)
+    common /= common.sum()
+    rows, labels = [], []
+    for _ in range(16_000):
+        u = rng.random()
+        a, b = u < 0.1, 0.085 < u < 0.185
+        rows.append(np.unique(np.array([1] * a + [2] * b + list(100 + rng.choice(2_000, 20, p=common)))))
+        labels.append(int(rng.random() < (0.51 if a and b else 0.032 if a or b else 0.103)))
+    labels = np.array(labels)
+    for feature in (1, 2):
+        assert abs(labels[[feature in r for r in rows]].mean() - labels.mean()) < 0.02
+    machine = toxicity.train(rows, labels)
+
+    def mean_score(*told):
+        texts = [np.array([*told, *(100 + rng.choice(2_000, 15, replace=False))]) for _ in range(200)]
+        return machine.scores(np.concatenate(texts), np.arange(201) * len(texts[0])).mean()
+
+    assert mean_score() < 0.2 and mean_score(1) < 0.2 and mean_score(2) < 0.2 and mean_score(1, 2) > 0.4
+
+
+def test_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(5)
+    rows = [rng.choice(90, rng.integers(0, 70), replace=False) for _ in range(300)]
+    machine = toxicity.train(rows, rng.integers(0, 2, 300), features=100, epochs=3)
+    asked = [*rows[:40], np.array([95, 96, 3]), np.array([], dtype=np.int64)]
+    got = machine.odds(np.concatenate(asked).astype(np.int64), np.append(0, np.cumsum([len(r) for r in asked])))
+    for r, odds in zip(asked, got, strict=True):
+        at = machine.place[r.astype(np.int64)]
+        scale = min(1.0, toxicity.TERMS / max(len(r), 1))
+        want = machine.bias + sum(machine.weights[i] * machine.values[i] for i in at)
+        for x, i in enumerate(at):
+            for j in at[:x]:
+                want += scale * machine.shares[i] * machine.shares[j] * float(machine.factors[i] @ machine.factors[j])
+        assert odds == pytest.approx(want, abs=1e-4)
+
+
 def test_toxic_documents(spark, sf, odd_wide, odd_rows, none):
     sf = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -4,7 +4,8 @@ A text's terms (its words, and the first letters of longer ones) are hashed to a
 number of features. The score is a bias, a weight per feature and, for every pair of
 features that occur together, the inner product of their factor vectors; the pairs'
 sum needs one pass over the features. So an insult next to a group's name can weigh
-more than both alone, which no additive weights express.
+more than both alone, which no additive weights express, even where each of them is as
+common in texts of label 0. Texts are scored whole, however long; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ FACTORS = 4
 STEM = 5
 # Most labelled texts that are learned from: those with the smallest id hashes, for each label half.
 SAMPLE = 16_000
-EPOCHS = 25
+EPOCHS = 8
+# Terms up to which a text's pairs count in full.
+TERMS = 32
 SEED = 7
 
 
@@ -40,44 +43,47 @@ def term_features(text: Column, features: int = FEATURES) -> Column:
     return F.array_distinct(F.concat(hashed, stems))
 
 
-def evidence(rows: list[np.ndarray], labels: np.ndarray, features: int, prior: float, deviations: float) -> np.ndarray:
-    """Value of each feature: its log odds for label 1 beyond the base rate, drawn to zero by ``prior`` pseudo-texts.
+def evidence(on: np.ndarray, n: np.ndarray, rate: float, prior: float, deviations: float) -> np.ndarray:
+    """Linear value of each feature: its log odds for label 1 beyond the base rate, drawn to zero by ``prior`` pseudo-texts.
 
-    Features whose count with label 1 is within so many standard deviations of what the
-    base rate gives, nearly all, tell nothing: they get the value zero and drop out.
+    A feature ``z`` standard deviations from the base rate keeps (z^2 / (z^2 + deviations^2))^2 of
+    it: what may be chance weighs little, and none is left out.
     """
-    rate = labels.mean()
-    on = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == 1]), minlength=features)
-    off = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y != 1]), minlength=features)
-    value = np.log((on + prior * rate) / (off + prior * (1 - rate))) - np.log(rate / (1 - rate))
-    n = on + off
-    sure = (on - n * rate) ** 2 >= deviations**2 * np.maximum(n, 1) * rate * (1 - rate)
-    return np.where(sure, value, 0.0)
+    value = np.log((on + prior * rate) / (n - on + prior * (1 - rate))) - np.log(rate / (1 - rate))
+    z2 = (on - n * rate) ** 2 / (np.maximum(n, 1) * rate * (1 - rate))
+    return value * (z2 / (z2 + deviations**2)) ** 2
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(rows, weights=values[:, f], minlength=n) for f in range(values.shape[1])], axis=1)
 
 
 @dataclass
 class Machine:
-    """``place`` maps a feature to its row of the other arrays; features that tell nothing go to row 0."""
+    """``place`` maps a feature to its row of the other arrays; features that were never seen go to row 0, of zeros.
+
+    ``values`` and ``weights`` make the linear part. A feature enters pairs with its
+    ``shares``, near 1 for all but rare ones, whatever it tells alone.
+    """
 
     bias: float
     place: np.ndarray
     values: np.ndarray
     weights: np.ndarray
+    shares: np.ndarray
     factors: np.ndarray
 
+    def pair_inputs(self, at: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """What each feature brings to its text's pairs; texts of more than ``TERMS`` terms are scaled to as many."""
+        return self.shares[at] * np.sqrt(TERMS / np.maximum(counts, TERMS))[rows]
+
     def odds(self, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log odds of rows whose features are ``features[offsets[i]:offsets[i + 1]]``."""
-        n = len(offsets) - 1
-        rows = np.repeat(np.arange(n), np.diff(offsets))
-        at = self.place[features]
-        rows, at = rows[at > 0], at[at > 0]
-        value = self.values[at]
-        result = self.bias + np.bincount(rows, weights=self.weights[at] * value, minlength=n)
-        for f in range(self.factors.shape[1]):
-            v = self.factors[at, f] * value
-            total = np.bincount(rows, weights=v, minlength=n)
-            result += (total**2 - np.bincount(rows, weights=v * v, minlength=n)) / 2
-        return result
+        counts = np.diff(offsets)
+        n, rows, at = len(counts), np.repeat(np.arange(len(counts)), counts), self.place[features]
+        v = self.factors[at] * self.pair_inputs(at, counts, rows)[:, None]
+        pairs = (_row_sums(rows, v, n) ** 2 - _row_sums(rows, v * v, n)).sum(axis=1) / 2
+        return self.bias + np.bincount(rows, weights=self.weights[at] * self.values[at], minlength=n) + pairs
 
     def scores(self, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.odds(features, offsets), -30, 30)))
@@ -90,52 +96,67 @@ def train(
     factors: int = FACTORS,
     epochs: int = EPOCHS,
     rate: float = 0.1,
+    pair_rate: float = 0.05,
     decay: float = 1e-3,
-    batch: int = 64,
+    pair_decay: float = 1e-2,
+    batch: int = 128,
     prior: float = 16.0,
     deviations: float = 4.0,
 ) -> Machine:
     """Fit by mini-batch steps of the logistic loss with per-coordinate rates (Adagrad).
 
-    Weights start from the evidence itself, so a small sample needs few steps.
+    Weights start from the evidence itself, so a small sample needs few steps. Every
+    feature of the sample has factors, also one that tells nothing alone; they are kept
+    small by decay and, for rare features, by their shares.
     """
     rng = np.random.default_rng(SEED)
-    told = evidence(rows, labels, features, prior, deviations)
-    kept = np.flatnonzero(told)
+    counts = np.array([len(r) for r in rows])
+    offsets = np.append(0, np.cumsum(counts))
+    kept, where = np.unique(np.concatenate(rows), return_inverse=True)
     place = np.zeros(features, dtype=np.int32)
     place[kept] = np.arange(1, len(kept) + 1)
-    values = np.append(0.0, told[kept])
-    size = len(values)
-    start = float(np.log(labels.mean() / (1 - labels.mean())))
-    machine = Machine(start, place, values, np.ones(size), rng.normal(0, 0.05, (size, factors)))
-    rows = [r[told[r] != 0] for r in rows]
-    seen_w, seen_v, seen_b = np.full(size, 1e-2), np.full((size, factors), 1e-2), 1e-2
+    places, size = (where + 1).astype(np.int32), len(kept) + 1
+    base = float(labels.mean())
+    seen = np.bincount(places, minlength=size)
+    on = np.bincount(places, weights=np.repeat(labels, counts), minlength=size)
+    values = evidence(on, seen, base, prior, deviations)
+    start = rng.normal(0, 0.1, (size, factors))
+    values[0], start[0] = 0, 0
+    machine = Machine(float(np.log(base / (1 - base))), place, values, np.ones(size), seen / (seen + prior), start)
+    past_w, past_v, past_b = np.full(size, 1e-2), np.full((size, factors), 1e-2), 1e-2
+    present, number = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for low in range(0, len(order), batch):
-            some = [rows[i] for i in order[low : low + batch]]
-            counts = np.array([len(r) for r in some])
-            flat = np.concatenate(some)
-            row = np.repeat(np.arange(len(some)), counts)
-            error = 1 / (1 + np.exp(-np.clip(machine.odds(flat, np.append(0, np.cumsum(counts))), -30, 30)))
-            error -= labels[order[low : low + batch]]
-            seen_b += error.mean() ** 2
-            machine.bias -= rate * error.mean() / np.sqrt(seen_b)
-            if not len(flat):
+            some = order[low : low + batch]
+            length = counts[some]
+            row = np.repeat(np.arange(len(some)), length)
+            first = np.append(0, np.cumsum(length))[:-1]
+            at = places[np.repeat(offsets[some] - first, length) + np.arange(length.sum())]
+            inputs, value = machine.pair_inputs(at, length, row), values[at]
+            v = machine.factors[at] * inputs[:, None]
+            total = _row_sums(row, v, len(some))
+            odds = machine.bias + np.bincount(row, weights=machine.weights[at] * value, minlength=len(some))
+            odds += ((total**2).sum(axis=1) - np.bincount(row, weights=(v * v).sum(axis=1), minlength=len(some))) / 2
+            error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[some]
+            past_b += error.mean() ** 2
+            machine.bias -= rate * error.mean() / np.sqrt(past_b)
+            if not len(at):
                 continue
-            at = place[flat]
-            distinct, where = np.unique(at, return_inverse=True)
-            value = values[at]
-            slope = np.bincount(where, weights=error[row] * value) + decay * (machine.weights[distinct] - 1)
-            seen_w[distinct] += slope**2
-            machine.weights[distinct] -= rate * slope / np.sqrt(seen_w[distinct])
-            v = machine.factors[at] * value[:, None]
-            total = np.stack([np.bincount(row, weights=v[:, f], minlength=len(some)) for f in range(factors)], axis=1)
-            each = (error[row] * value)[:, None] * (total[row] - v)
-            push = np.stack([np.bincount(where, weights=each[:, f]) for f in range(factors)], axis=1)
-            push += decay * machine.factors[distinct]
-            seen_v[distinct] += push**2
-            machine.factors[distinct] -= rate * push / np.sqrt(seen_v[distinct])
+            present[at] = True
+            distinct = np.flatnonzero(present)
+            present[distinct] = False
+            number[distinct] = np.arange(len(distinct))
+            which = number[at]
+            slope = np.bincount(which, weights=error[row] * value) + decay * (machine.weights[distinct] - 1)
+            past_w[distinct] += slope**2
+            machine.weights[distinct] -= rate * slope / np.sqrt(past_w[distinct])
+            push = _row_sums(which, (error[row] * inputs)[:, None] * (total[row] - v), len(distinct))
+            past_v[distinct] += push**2
+            step = pair_rate / np.sqrt(past_v[distinct])
+            moved = machine.factors[distinct] - step * push
+            machine.factors[distinct] = moved * np.maximum(0, 1 - step * pair_decay)
+    machine.factors = machine.factors.astype(np.float32)
     return machine
 
 
