@@ -405,16 +405,21 @@ def proportional_cuts(df, by, order, slice_by, weight: Column, length: str) -> D
         F.sum("__w").alias("__total"), F.count("*").alias("__n")
     )
     s = s.join(sizes, by)
-    i, n, L = F.col("__i"), F.col("__n"), F.col(length)
-    target = F.bround(L * F.col("__upto") / F.col("__total")).cast("bigint")
-    limit = L - (n - i)
-    level = F.least(target, limit) - i
+    target = F.bround(F.col(length) * F.col("__upto") / F.col("__total")).cast("bigint")
+    return forward_cuts(s, df.columns, by, order, slice_by, target, length)
+
+
+def forward_cuts(s, columns, by, order, slice_by, target: Column, length: str) -> DataFrame:
+    """``columns`` with the span of each piece: its end is ``target``, moved so that each piece has a character.
+
+    ``s`` holds a piece's number ``__i`` from 1 and their count ``__n``; the last piece ends the text.
+    """
+    i, n = F.col("__i"), F.col("__n")
+    level = F.least(target, F.col(length) - (n - i)) - i
     s = scan(s.withColumn("__level", F.greatest(level, F.lit(0))), by, order, slice_by, cut=True, __top=running_max("__level"))
-    cut = F.when(F.col("__i") == F.col("__n"), F.col(length)).otherwise(F.col("__top") + F.col("__i"))
+    cut = F.when(i == n, F.col(length)).otherwise(F.col("__top") + i)
     s = scan(s.withColumn("cut_end", cut), by, order, slice_by, cut=True, __prev_cut=lag("cut_end"))
-    return s.withColumn("cut_start", F.coalesce(F.col("__prev_cut"), F.lit(0))).select(
-        *df.columns, "cut_start", "cut_end"
-    )
+    return s.withColumn("cut_start", F.coalesce(F.col("__prev_cut"), F.lit(0))).select(*columns, "cut_start", "cut_end")
 
 
 def keep_newest(df, by, age: Column, max_age, newest: Sequence[Column], keep: int) -> DataFrame:

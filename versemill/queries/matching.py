@@ -198,3 +198,32 @@ def j10(spark, d):
     moras, notes = _voices(spark, d)
     out = M.match_moras(moras, notes, "song_id", "mora_no", "onset", "mora_pitch", "note_no", "start_ms", "end_ms", "pitch")
     return out.select("song_id", "mora_no", "note_no")
+
+
+@query(
+    "x2_token_reader",
+    B.with_(B.TURNS, _UNITS) + """, t AS (SELECT *, c1 - length(w) AS c0, CAST(sum(length(w) * 2 + unit % 3) OVER x AS BIGINT) AS r1, CAST(sum(length(w) * 2 + unit % 3) OVER x AS BIGINT) - length(w) * 2 - unit % 3 AS r0 FROM units WINDOW x AS (PARTITION BY song_id, line_id ORDER BY unit)),
+ p AS (SELECT song_id, line_id, k AS part, k * 37 AS reading_end, 1 + k % 5 AS w, L, n FROM (SELECT song_id, line_id, max(r1) AS r, max(c1) AS L, max(r1) // 37 + 1 AS n FROM t GROUP BY 1, 2), unnest(range(1, r // 37 + 2)) AS u(k)),
+ tok AS (SELECT t.* FROM t SEMI JOIN (SELECT * FROM turns WHERE role = 'user') u USING (song_id, line_id)),
+ rd AS (SELECT song_id, line_id, max(r1) AS reading FROM tok GROUP BY 1, 2),
+ a AS (SELECT p.*, reading, CASE WHEN reading_end = r0 THEN c0 WHEN reading_end - r0 >= r1 - reading_end THEN c1 ELSE c0 END AS snapped,
+  sum(p.w) OVER (PARTITION BY p.song_id, p.line_id ORDER BY part) AS up, sum(p.w) OVER (PARTITION BY p.song_id, p.line_id) AS tot
+  FROM p LEFT JOIN rd USING (song_id, line_id) LEFT JOIN tok ON tok.song_id = p.song_id AND tok.line_id = p.line_id AND reading_end >= r0 AND reading_end < r1),
+ b AS (SELECT *, CASE WHEN reading IS NULL THEN CAST(round_even(L * up / tot, 0) AS BIGINT) WHEN reading_end >= reading THEN L ELSE coalesce(snapped, 0) END AS target FROM a),
+ c AS (SELECT *, max(greatest(0, least(target, L - (n - part)) - part)) OVER (PARTITION BY song_id, line_id ORDER BY part) AS top FROM b),
+ e AS (SELECT *, CASE WHEN part = n THEN L ELSE top + part END AS ce FROM c)
+SELECT song_id, line_id, CAST(part AS BIGINT) AS part, reading IS NOT NULL AS by_reading,
+  CAST(coalesce(lag(ce) OVER (PARTITION BY song_id, line_id ORDER BY part), 0) AS BIGINT) AS cut_start, CAST(ce AS BIGINT) AS cut_end FROM e""",
+)
+def x2(spark, d):
+    """Lines cut by the tokens of a reader that knows only the user's turns; the others are shared out."""
+    from versemill.plans.ordered import running_sum, scan
+
+    line = ["song_id", "line_id"]
+    size = F.length("w") * 2 + F.col("unit") % 3
+    t = scan(_units(spark, d), line, ["unit"], by_width("unit", 4096), r1=running_sum(size)).withColumn("r0", F.col("r1") - size)
+    ends = t.groupBy(*line).agg(F.max("r1").alias("r"), F.max("c1").cast("bigint").alias("chars"))
+    parts = ends.withColumn("part", F.explode(F.expr("sequence(1L, r div 37 + 1)"))).withColumn("reading_end", F.col("part") * 37)
+    tokens = t.join(B.turns(spark, d).where("role = 'user'").select(*line), line, "left_semi")
+    out = M.split_by_tokens(parts, tokens, line, ["part"], by_width("part", 1024), "reading_end", 1 + F.col("part") % 5, "chars")
+    return out.select(*line, "part", "by_reading", F.col("cut_start").cast("bigint").alias("cut_start"), F.col("cut_end").cast("bigint").alias("cut_end"))
