@@ -217,11 +217,13 @@ SELECT song_id, line_id, CAST(part AS BIGINT) AS part, reading IS NOT NULL AS by
 )
 def x2(spark, d):
     """Lines cut by the tokens of a reader that knows only the user's turns; the others are shared out."""
-    from versemill.plans.ordered import running_sum, scan
+    from versemill.plans.ordered import materialize, running_sum, scan
 
     line = ["song_id", "line_id"]
     size = F.length("w") * 2 + F.col("unit") % 3
     t = scan(_units(spark, d), line, ["unit"], by_width("unit", 4096), r1=running_sum(size)).withColumn("r0", F.col("r1") - size)
+    # Parts, readings and cuts all come from it.
+    t = materialize(t.select(*line, "r0", "r1", "c0", "c1"))
     ends = t.groupBy(*line).agg(F.max("r1").alias("r"), F.max("c1").cast("bigint").alias("chars"))
     parts = ends.withColumn("part", F.explode(F.expr("sequence(1L, r div 37 + 1)"))).withColumn("reading_end", F.col("part") * 37)
     tokens = t.join(B.turns(spark, d).where("role = 'user'").select(*line), line, "left_semi")
